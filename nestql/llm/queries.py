@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, mixing, packing, sstable
+from . import jaccard, mixing, packing, sstable, suffix
 from .store import table
 
 
@@ -24,6 +24,11 @@ def op2_sorted_string_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.round_trip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), "spaceless", end_id=2)
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -32,6 +37,6 @@ def op10_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), words=5, threshold=0.8).select("doc_id", "class_id", "n_links", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_sorted_string_table, op5_poisson_mixing, op10_lsh_forest_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_sorted_string_table, op3_suffix_array_dedup, op5_poisson_mixing, op10_lsh_forest_join)}
 
 ORACLES: dict[str, str] = {"op5_poisson_mixing": mixing.oracle()}
