@@ -160,7 +160,7 @@ def compare(threshold: float):
 
 def join(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
     """doc_id, text_hash, class_id (the smallest doc_id in the component of links), n_links (other documents at or above
-    the threshold), kept (the class's own row): a row for each document."""
+    the threshold), kept (the row of that doc_id), alone (no word): a row for each document."""
     spark = docs.sparkSession
     scratch, depth = Scratch(spark, "jaccard"), depth_for(threshold)
     signed = scratch.write(nodes(docs, words, depth), "nodes")
@@ -192,13 +192,31 @@ def join(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("node").alias("a"), F.col("peer").alias("b")), scratch, "links")
     per = classes.join(links, "node", "left").join(comp, "node", "left")
-    per = per.select("node", "doc_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash").alias("own")
+    per = per.select("node", own, (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))
     per = scratch.write(per, "per")
-    lowest = per.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    per = scratch.write(per.join(lowest, "component").select("node", "n_links", "class_id"), "result")
+    first = per.groupBy("component").agg(F.min("own").alias("first"))
+    per = per.join(first, "component").select(F.col("node").alias("_node"), "n_links", F.col("first.doc_id").alias("class_id"), F.col("first.text_hash").alias("class_hash"))
+    per = scratch.write(per, "result")
     for name in ("classes", "groups", "members", "found", "per"):
         scratch.drop(name)
-    rows = signed.select("doc_id", "text_hash", "n_shingles", F.col("node").alias("_node")).join(per.withColumnRenamed("node", "_node"), "_node", "left")
-    own = F.col("n_shingles") == 0
-    class_id = F.when(own, F.col("doc_id")).otherwise(F.col("class_id"))
-    return rows.select("doc_id", "text_hash", class_id.alias("class_id"), F.when(own, F.lit(0)).otherwise(F.col("n_links")).alias("n_links"), class_id.eqNullSafe(F.col("doc_id")).alias("kept"))
+    rows = signed.select("doc_id", "text_hash", "n_shingles", F.col("node").alias("_node")).join(per, "_node", "left")
+    alone = F.col("n_shingles") == 0
+    class_id = F.when(alone, F.col("doc_id")).otherwise(F.col("class_id"))
+    kept = alone | (F.col("class_id").eqNullSafe(F.col("doc_id")) & (F.col("class_hash") == F.col("text_hash")))
+    return rows.select("doc_id", "text_hash", class_id.alias("class_id"), F.when(alone, F.lit(0)).otherwise(F.col("n_links")).alias("n_links"), kept.alias("kept"), alone.alias("alone"))
+
+
+def one_each(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
+    """docs with one document of each class: the smallest doc_id. Texts without a word are no class and stay."""
+    rows = Scratch(docs.sparkSession, "one-each").write(join(docs, words, threshold), "rows")
+
+    def same(other: DataFrame) -> tuple:
+        return other, F.xxhash64("text").eqNullSafe(F.col("_t")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_d"))
+
+    key = [F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")]
+    out = docs.join(*same(rows.filter("not kept").select(*key).distinct()), "left_anti")
+    again = rows.filter("kept and not alone").groupBy(*key).count().filter("count > 1").select("_d", "_t")
+    if again.isEmpty():
+        return out
+    return out.join(*same(again), "left_anti").unionByName(out.join(*same(again), "left_semi").dropDuplicates(["doc_id", "text"]))

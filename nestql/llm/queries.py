@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, jaccard, mixing, packing, sstable, suffix
+from . import chat, embeddings, jaccard, langid, mixing, packing, quality, sstable, suffix, toxicity
 from .store import table
 
 
@@ -29,10 +29,29 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op4_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(table(spark, sf_dir, "conversations"))
+
+
 def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_multiple_instance_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
+
+
+def op7_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(table(spark, sf_dir, "documents"))
+
+
+def op8_line_field_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = quality.judge(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_p_stable_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
@@ -41,6 +60,6 @@ def op10_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), words=5, threshold=0.8).select("doc_id", "class_id", "n_links", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_sorted_string_table, op3_suffix_array_dedup, op5_poisson_mixing, op9_p_stable_embeddings, op10_lsh_forest_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_sorted_string_table, op3_suffix_array_dedup, op4_tool_call_linking, op5_poisson_mixing, op6_multiple_instance_toxicity, op7_language_bitmask, op8_line_field_quality, op9_p_stable_embeddings, op10_lsh_forest_join)}
 
-ORACLES: dict[str, str] = {"op5_poisson_mixing": mixing.oracle()}
+ORACLES: dict[str, str] = {"op4_tool_call_linking": chat.ORACLE, "op5_poisson_mixing": mixing.oracle()}

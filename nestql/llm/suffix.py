@@ -373,3 +373,10 @@ def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
         out = scratch.write(out, "result")
         scratch.drop("segments")
     return out
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The columns of docs, with the repeated bytes removed from text; n_chars, if there, counts what is left."""
+    out = dedup(docs)
+    n_chars = F.length("text").cast("long")
+    return out.select(*[n_chars.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns if c in out.columns])
