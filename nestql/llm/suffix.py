@@ -39,6 +39,8 @@ from .textvec import U, grouped, mix, prefix, spans, windows
 LENGTH, SEED, NAME = 50, 24, 24
 #: Bytes of a segment, segments of a group, bytes hashed at once, windows of a run.
 SEGMENT, GROUP, SLICE, RUN = 8 << 20, 4, 1 << 20, 64
+#: Bytes that are suffix-sorted at once, and the finest division of a part.
+SORTED, FINE = 400_000, 4096
 LAST = (1 << 63) - 1
 SEGMENTS = "grp long, seg long, ids array<long>, sizes array<long>, data binary, extra binary"
 
@@ -227,14 +229,15 @@ def _show(parts: int):
             data, runs = _of(row)
             entry = np.flatnonzero(codes.get(row["seg"], np.zeros(0, np.uint8)) == 2)
             head = runs.head[entry]
-            part, start, n = _parts(runs.low[entry], parts), runs.start[head], runs.n[head]
+            fine, start, n = _parts(runs.low[entry], parts * FINE), runs.start[head], runs.n[head]
+            part, fine = fine // U(FINE), fine % U(FINE)
             for p in np.unique(part):
                 i = np.flatnonzero(part == p)
                 raw = b"".join(data[a : a + k + LENGTH - 1] for a, k in zip(start[i].tolist(), n[i].tolist(), strict=True))
-                out.append((int(p), row["grp"], row["seg"], entry[i].tolist(), runs.least[entry[i]].tolist(), n[i].tolist(), _zip(raw)))
-        cols = list(zip(*out, strict=True)) if out else [[]] * 7
-        kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 3 + [pa.binary()]
-        return pa.table([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["part", "grp", "seg", "entry", "doc", "n", "data"])
+                out.append((int(p), row["grp"], row["seg"], entry[i].tolist(), runs.least[entry[i]].tolist(), n[i].tolist(), fine[i].astype(np.int64).tolist(), _zip(raw)))
+        cols = list(zip(*out, strict=True)) if out else [[]] * 8
+        kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 4 + [pa.binary()]
+        return pa.table([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["part", "grp", "seg", "entry", "doc", "n", "fine", "data"])
 
     return run
 
@@ -299,11 +302,21 @@ def smallest(data: bytes, n: np.ndarray, doc: np.ndarray) -> np.ndarray:
 def resolve(table: pa.Table) -> pa.Table:
     """For each representative of a part, the windows whose strings also start in a smaller document, as bits."""
     rows = table.to_pylist()
-    n, doc = (np.array([x for r in rows for x in r[c]], np.int64) for c in ("n", "doc"))
-    hit = smallest(b"".join(_unzip(r["data"]) for r in rows), n, doc) < np.repeat(doc, n)
-    begin = np.cumsum(n) - n
-    value = np.where(hit, U(1) << (np.arange(len(hit)) - np.repeat(begin, n)).astype(U), U(0))
-    bits = np.add.reduceat(value, begin).astype(np.int64) if len(n) else np.zeros(0, np.int64)
+    n, doc, fine = (np.array([x for r in rows for x in r[c]], np.int64) for c in ("n", "doc", "fine"))
+    data = b"".join(_unzip(r["data"]) for r in rows)
+    size = n + LENGTH - 1
+    start, bits = np.cumsum(size) - size, np.zeros(len(n), np.int64)
+    # equal strings have the same minimizer, so what differs in it can be sorted apart
+    order = np.argsort(fine, kind="stable")
+    held = np.bincount(fine, weights=size, minlength=FINE)
+    chunk = (np.cumsum(held) - held)[fine[order]] // SORTED
+    for idx in np.split(order, np.flatnonzero(np.diff(chunk)) + 1) if len(order) else []:
+        raw = b"".join([data[a : a + k] for a, k in zip(start[idx].tolist(), size[idx].tolist(), strict=True)])
+        count = n[idx]
+        begin = np.cumsum(count) - count
+        hit = smallest(raw, count, doc[idx]) < np.repeat(doc[idx], count)
+        value = np.where(hit, U(1) << (np.arange(len(hit)) - np.repeat(begin, count)).astype(U), U(0))
+        bits[idx] = np.add.reduceat(value, begin).astype(np.int64)
     cuts = np.cumsum([len(r["entry"]) for r in rows])
     return pa.table({"grp": pa.array([r["grp"] for r in rows], pa.int64()), "seg": pa.array([r["seg"] for r in rows], pa.int64()), "entry": pa.array([r["entry"] for r in rows], pa.list_(pa.int64())), "bits": pa.array([x.tolist() for x in np.split(bits, cuts[:-1])], pa.list_(pa.int64()))})
 
@@ -323,16 +336,16 @@ def _cut(with_text: bool):
             seen = np.zeros(len(runs.head), U)
             for entry, value in bits.get(row["seg"], []):
                 seen[entry] = np.array(value, np.int64).astype(U)
-            step = np.zeros(len(data) + 1, np.int64)
+            step = np.zeros(len(data) + 1, np.int64)  # where removed stretches begin and end
             e = runs.entry
             whole = (code[e] == 1) | ((code[e] == 2) & (runs.doc > runs.least[e])) if len(e) else np.zeros(0, bool)
             for a, b in ((runs.start[whole], runs.start[whole] + runs.n[whole] + LENGTH - 1),):
                 step += np.bincount(a, minlength=len(step)) - np.bincount(b, minlength=len(step))
             part = np.flatnonzero(~whole & (seen[e] != 0)) if len(e) else np.zeros(0, np.int64)
-            for k in range(RUN):
-                a = runs.start[part[(seen[e[part]] >> U(k)) & U(1) == 1]] + k
-                if len(a):
-                    step += np.bincount(a, minlength=len(step)) - np.bincount(a + LENGTH, minlength=len(step))
+            single = [runs.start[part[(seen[e[part]] >> U(k)) & U(1) == 1]] + k for k in range(RUN)]
+            a = np.concatenate(single)
+            if len(a):
+                step += np.bincount(a, minlength=len(step)) - np.bincount(a + LENGTH, minlength=len(step))
             gone = np.cumsum(step[:-1]) > 0
             buf, out = np.frombuffer(data, np.uint8), []
             for a, n in zip(runs.begin.tolist(), row["sizes"], strict=True):
@@ -362,7 +375,7 @@ def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     seg = scratch.write_bucketed(segments(docs), "segments", "grp", width)
     offers = seg.select("grp", "seg", "ids", "sizes", "data").mapInArrow(offer(parts), "part long, grp long, seg long, n long, base long, blob binary")
     codes = scratch.write(offers.groupBy("part").applyInArrow(represent, "grp long, seg long, part long, codes binary"), "codes")
-    kind = "part long, grp long, seg long, entry array<long>, doc array<long>, n array<long>, data binary"
+    kind = "part long, grp long, seg long, entry array<long>, doc array<long>, n array<long>, fine array<long>, data binary"
     shown = seg.select("grp", "seg", "ids", "sizes", "data").groupBy("grp").cogroup(codes.groupBy("grp")).applyInArrow(_show(parts), kind)
     found = scratch.write(shown.groupBy("part").applyInArrow(resolve, "grp long, seg long, entry array<long>, bits array<long>"), "found")
     answers = codes.unionByName(found, allowMissingColumns=True)
