@@ -181,7 +181,8 @@ def join(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
     blocks = weight.select("grp", F.greatest(F.ceil(F.col("w") / BLOCK_SHINGLES), F.ceil(F.col("n") / BLOCK_DOCS)).cast("int").alias("blocks"))
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     whole = docs.select(F.col("doc_id").cast("long").alias("_d"), F.xxhash64("text").alias("_t"), "text")
-    dealt = members.join(blocks, "grp").join(whole, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")))
+    # by shuffle at every size: a broadcast of the members would only do while they are few
+    dealt = members.join(blocks, "grp").join(whole.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")))
     dealt = sets(dealt, words).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # a member goes to each pair of blocks that its own is part of
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda c: F.struct(F.least("own", c).alias("p"), F.greatest("own", c).alias("q")))
@@ -212,7 +213,7 @@ def one_each(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFra
     rows = Scratch(docs.sparkSession, "one-each").write(join(docs, words, threshold), "rows")
 
     def same(other: DataFrame) -> tuple:
-        return other, F.xxhash64("text").eqNullSafe(F.col("_t")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_d"))
+        return other.hint("merge"), F.xxhash64("text").eqNullSafe(F.col("_t")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_d"))
 
     key = [F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")]
     out = docs.join(*same(rows.filter("not kept").select(*key).distinct()), "left_anti")

@@ -38,7 +38,7 @@ from .textvec import U, grouped, mix, prefix, spans, windows
 
 LENGTH, SEED, NAME = 50, 24, 24
 #: Bytes of a segment, segments of a group, bytes hashed at once, windows of a run.
-SEGMENT, GROUP, SLICE, RUN = 8 << 20, 4, 1 << 20, 64
+SEGMENT, GROUP, SLICE, RUN = 4 << 20, 8, 1 << 19, 64
 #: Bytes that are suffix-sorted at once, and the finest division of a part.
 SORTED, FINE = 400_000, 4096
 LAST = (1 << 63) - 1
@@ -336,17 +336,17 @@ def _cut(with_text: bool):
             seen = np.zeros(len(runs.head), U)
             for entry, value in bits.get(row["seg"], []):
                 seen[entry] = np.array(value, np.int64).astype(U)
-            step = np.zeros(len(data) + 1, np.int64)  # where removed stretches begin and end
+            step = np.zeros(len(data) + 1, np.int32)  # where removed stretches begin and end
             e = runs.entry
             whole = (code[e] == 1) | ((code[e] == 2) & (runs.doc > runs.least[e])) if len(e) else np.zeros(0, bool)
-            for a, b in ((runs.start[whole], runs.start[whole] + runs.n[whole] + LENGTH - 1),):
-                step += np.bincount(a, minlength=len(step)) - np.bincount(b, minlength=len(step))
+            np.add.at(step, runs.start[whole], 1)
+            np.subtract.at(step, runs.start[whole] + runs.n[whole] + LENGTH - 1, 1)
             part = np.flatnonzero(~whole & (seen[e] != 0)) if len(e) else np.zeros(0, np.int64)
             single = [runs.start[part[(seen[e[part]] >> U(k)) & U(1) == 1]] + k for k in range(RUN)]
             a = np.concatenate(single)
-            if len(a):
-                step += np.bincount(a, minlength=len(step)) - np.bincount(a + LENGTH, minlength=len(step))
-            gone = np.cumsum(step[:-1]) > 0
+            np.add.at(step, a, 1)
+            np.subtract.at(step, a + LENGTH, 1)
+            gone = np.cumsum(step[:-1], out=step[:-1]) > 0
             buf, out = np.frombuffer(data, np.uint8), []
             for a, n in zip(runs.begin.tolist(), row["sizes"], strict=True):
                 g = gone[a : a + n]
