@@ -70,6 +70,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Arrow batches of whole texts must stay small: a batch is held in memory at once, in the JVM and in Python."""
     for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
-        now = str(spark.conf.get(name, "0")).lower().rstrip("b")
+        now = str(spark.conf.get(name)).lower().rstrip("b")
         if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(name, str(most))
