@@ -104,16 +104,17 @@ class Compiler:
         keep: what restricts the rows early, before the children are made.
         """
         df, node.t = self.scan(node.type.table, node.alias, node.args)
+        strict = False
         if node.edge.junction:
             j, node.j = self.scan(node.edge.junction.table, f"{node.alias}j", node.args)
             where = self.condition(node.edge.junction.where, node.j, node)
             # a junction's filter belongs to its scan; T1 of joined lists is decided by attach()
-            if where is not None:
+            strict = where is not None
+            if strict:
                 j = j.filter(where)
             df = j.join(df, self.pairs(node.edge.junction.child, node.j, node.t, node))
         if keep is not None:
             df = keep(df)
-        strict = False
         for o in list(node.outputs.values()):
             if o.child is not None:
                 df, s = self.attach(df, node, o)
@@ -268,7 +269,7 @@ class Compiler:
             link = [self.key(parent).alias("_l0")]
             match = [self.key(parent) == F.col("_l0")]
         where = self.condition(edge.where, node.t, node, **({"j": node.j} if node.j else {}), **({"parent": parent.t} if not by_key else {}))
-        drops = free and (edge.where is not None and where is not None or strict or bool(edge.junction and edge.junction.where is not None))
+        drops = free and (where is not None or strict)
         total_rows = None
         if where is not None and not drops:
             rows = rows.filter(where)
@@ -458,4 +459,7 @@ class Compiler:
             df = df.filter(w)
         if orders:
             df = df.orderBy(*orders)
-        return df.select(*[c.alias(k) for k, c in dict(reversed(names(node, ""))).items()])
+        first: dict[str, Column] = {}
+        for k, c in names(node, ""):
+            first.setdefault(k, c)
+        return df.select(*[c.alias(k) for k, c in first.items()])
