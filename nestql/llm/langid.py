@@ -138,5 +138,7 @@ def predict(docs: DataFrame) -> DataFrame:
 
 def known(docs: DataFrame, least: float = 0.25) -> DataFrame:
     """docs without those whose language can't be told: ``und``, or a score under least."""
-    names = tuple(c for c in docs.columns if c.lower() not in ("lang_pred", "score"))
-    return identify(docs, learn(docs), names).filter(F.col("score") >= least).filter("lang_pred <> 'und'").select(*[F.col(f"`{c}`") for c in names])
+    aside = {c: f"_own_{c}" for c in docs.columns if c.lower() in ("lang_pred", "score")}
+    renamed = docs.withColumnsRenamed(aside)
+    out = identify(renamed, learn(docs), tuple(renamed.columns)).filter(F.col("score") >= least).filter("lang_pred <> 'und'")
+    return out.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
