@@ -10,6 +10,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from .errors import QueryError, SchemaError
+from .functions.names import Namespace
 from .operators.compiler import Compiler
 from .plans.parser import Field, parse
 from .plans.planner import Planner
@@ -41,12 +42,16 @@ class Engine:
             raise QueryError("the query has several root fields, or none; use frames()")
         return next(iter(frames.values()))
 
-    def flat(self, text: str, variables: Mapping[str, Any] | None = None, ctx: Any = None) -> DataFrame:
-        """The rows before nesting, with names like posts__comments__id."""
+    def flat(self, text: str, variables: Mapping[str, Any] | None = None, ctx: Any = None, minify: bool = False, prefix: str = "") -> DataFrame:
+        """The rows before nesting, with names like posts__comments__id; minify makes them short, prefix goes before each."""
         nodes = Planner(self.schema, parse(text), variables or {}, ctx).roots()
         if len(nodes) != 1:
             raise QueryError("flat() takes one root field")
-        return Compiler(self.spark, ctx).flat(nodes[0])
+        df = Compiler(self.spark, ctx).flat(nodes[0])
+        if minify or prefix:
+            space = Namespace(minify, prefix, longest=1 << 20)
+            df = df.toDF(*[space.name(c) for c in df.columns])
+        return df
 
     def data(self, text: str, variables: Mapping[str, Any] | None = None, ctx: Any = None, operation: str | None = None) -> dict[str, Any]:
         """Collect the result as nested dictionaries; for results that fit the driver."""
