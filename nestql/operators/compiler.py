@@ -332,7 +332,8 @@ class Compiler:
         """A row for each link: the array of values in order, of the page only if there is one."""
         names, edge = [f"_l{i}" for i in range(len(link))], node.edge
         if not node.type.unique or node.j is not None:  # what joins bring twice is one object
-            rows = rows.withColumn("_k", self.key(node)).select(*link, "*").dropDuplicates([*names, "_k"]).drop("_k")
+            # dealt by link once: duplicates, windows and lists all find it so
+            rows = rows.withColumn("_k", self.key(node)).select(*link, "*").repartition(*names).dropDuplicates([*names, "_k"]).drop("_k")
             link = [F.col(n) for n in names]
         total = None
         if edge.connection and edge.paginate and self.wants(node, "total"):
