@@ -153,7 +153,8 @@ class Runs:
             extra = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             start, count = np.repeat(start, pieces) + RUN * extra, np.minimum(np.repeat(count, pieces) - RUN * extra, RUN)
         mark = mix(spans(c, start, start + count + LENGTH - 1) + count.astype(U))
-        return [(start + self.begin[at], count, low[start], mark, doc[start] + at)]
+        # the smallest of many hashes is a small one: mixed again, minimizers spread evenly over the parts
+        return [(start + self.begin[at], count, mix(low[start]), mark, doc[start] + at)]
 
 
 def _of(row: dict) -> tuple[bytes, Runs]:
