@@ -68,23 +68,32 @@ class Model:
             return cls()
         n, positive = len(rows), sum(1 for _, t in rows if t)
         seen, toxic_docs = Counter(), Counter()
+        parts: dict[str, list[str]] = {}
         for text, t in rows:
-            found = {f for x in set(words(_END.sub(" ", text))) for f in features(x)}
+            found: set[str] = set()
+            for x in set(words(_END.sub(" ", text))):
+                if x not in parts:
+                    parts[x] = features(x)
+                found.update(parts[x])
             seen.update(found)
             if t:
                 toxic_docs.update(found)
         kept, start = {}, []
         for x, k in sorted(seen.items()):
+            if k < MIN_DOCS:
+                continue
             table = np.array([[toxic_docs[x], k - toxic_docs[x]], [positive - toxic_docs[x], n - positive - k + toxic_docs[x]]], np.float64)
             expected = table.sum(axis=1, keepdims=True) * table.sum(axis=0, keepdims=True) / n
-            if k >= MIN_DOCS and 2 * (table * np.log(np.maximum(table, 1e-9) / np.maximum(expected, 1e-9))).sum() > EVIDENCE:
+            if 2 * (table * np.log(np.maximum(table, 1e-9) / np.maximum(expected, 1e-9))).sum() > EVIDENCE:
                 (a, b), (c, d) = table + 0.5
                 kept[x] = len(kept)
                 start.append(np.clip(np.log(a * d / (b * c)), -2, 8))
+        held = {x: [kept[f] for f in fs if f in kept] for x, fs in parts.items()}
         index, ends, bag = [], [], []
         for d, (text, _) in enumerate(rows):
             for a, b in sentences(text):
-                index.extend(kept[f] for x in set(words(text[a:b])) for f in features(x) if f in kept)
+                for x in set(words(text[a:b])):
+                    index.extend(held.get(x, ()))
                 ends.append(len(index))
                 bag.append(d)
         index, bag = np.array(index, np.int64), np.array(bag, np.int64)
