@@ -62,6 +62,10 @@ class Encoder:
             self.known[p] = raw[at:end]
             at = end
 
+    def forget(self) -> None:
+        """At the end of a task: the worker may go on with other work, and its memory is shared with it."""
+        self.known = {}
+
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers. None counts as the empty text."""
         heads, parts = [], []
@@ -88,7 +92,7 @@ class Encoder:
 
 
 def encoder(path: str, kind: str) -> Encoder:
-    """One encoder for each worker process, kept between tasks."""
+    """One encoder for each worker process, kept between tasks; what it has learnt isn't."""
     if (path, kind) not in _LOADED:
         _LOADED[path, kind] = Encoder(path, kind)
     return _LOADED[path, kind]
