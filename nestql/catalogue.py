@@ -257,7 +257,7 @@ _DATED = "SELECT o_custkey AS id, o_orderkey AS node, o_orderdate AS d, row_numb
 _add("page_offset_nested", f'{{ customers {{ id orderPage(first: 2, after: "{cursors.make(0)}") {{ total pageInfo {{ hasNextPage }} edges {{ cursor node {{ id }} }} }} }} }}',
      f"SELECT id, n AS total, n > 3 AS pageInfo_hasNextPage, CAST(pos - 1 AS INTEGER) AS pos, {_OFFSET.format(0)} AS cursor, node FROM ({_DATED}) WHERE pos BETWEEN 1 AND 2", _edges("orderPage", "total", "pageInfo.hasNextPage"))
 _add("page_offset_many_many", "{ parts { id supplierPage(first: 2) { total edges { node { id } } } } }", f"SELECT id, n AS total, pos, s_suppkey AS node FROM ({_SUPPLIERS}) WHERE pos < 2", _edges("supplierPage", "total"))
-_add("page_past_end", f'{{ customerPage(first: 3, after: "{cursors.make(10**9)}") {{ total pageInfo {{ hasNextPage startCursor }} edges {{ node {{ id }} }} }} }}', "SELECT CAST(0 AS BIGINT) AS total, false AS more, NULL AS first, CAST(0 AS INTEGER) AS n",
+_add("page_past_end", f'{{ customerPage(first: 3, after: "{cursors.make(10**9)}") {{ total pageInfo {{ hasNextPage startCursor }} edges {{ node {{ id }} }} }} }}', "SELECT CAST(0 AS BIGINT) AS total, false AS more, CAST(NULL AS VARCHAR) AS first, CAST(0 AS INTEGER) AS n",
      lambda df: df.select("total", F.col("pageInfo.hasNextPage").alias("more"), F.col("pageInfo.startCursor").alias("first"), F.size("edges").alias("n")))
 _add("page_keyset_root", f'{{ customerKeyset(first: 3, after: "{cursors.make({"c_custkey": 4})}") {{ pageInfo {{ hasNextPage }} edges {{ cursor node {{ id }} }} }} }}',
      "SELECT true AS pageInfo_hasNextPage, CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS pos, to_base64(encode('{\"c_custkey\":' || id || '}')) AS cursor, id AS node FROM (SELECT c_custkey AS id FROM customer WHERE c_custkey > 4 ORDER BY 1 LIMIT 3)", _edges(None, "pageInfo.hasNextPage"))
@@ -302,7 +302,7 @@ def _node(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _node_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
     first = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*keys).orderBy(*keys).first()
-    return Engine(spark, star(spark, sf_dir)).node("Line", list(first), "{ number }").select(F.lit(first[0]).alias("o"), "number", "__type__")
+    return Engine(spark, star(spark, sf_dir)).node("Line", list(first), "{ number }").select(F.lit(first[0]).cast("long").alias("o"), "number", "__type__")
 
 
 @_special("node_missing", "SELECT c_custkey AS id, 'Customer' AS __type__ FROM customer WHERE c_custkey = -1")
