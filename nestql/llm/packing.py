@@ -49,7 +49,6 @@ def cut(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: int)
             cols = list(zip(*out, strict=True)) or [[]] * 7
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
-        enc.forget()
 
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)

@@ -191,7 +191,6 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, kind: str, end_id
                 writer = Writer(store.open_output_stream(inner))
             for doc, ids in zip(batch.column(0).to_pylist(), enc.ids(batch.column(1).to_pylist()), strict=True):
                 writer.add(key_of(doc), np.frombuffer(ids + end, "<u4"))
-        enc.forget()
         if writer is not None:
             writer.close()
             writer.sink.close()
