@@ -217,6 +217,10 @@ _add("junction_where", "{ parts { id bulk { id } } }", "SELECT DISTINCT p_partke
 _add("junction_include", "{ parts { id byQuantity { id quantity } } }",
      "SELECT l_partkey AS id, s_suppkey AS supplier, min(l_quantity) <= max(l_quantity) AS known FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_partkey IN (SELECT p_partkey FROM part) GROUP BY 1, 2",
      lambda df: _each("byQuantity")(df).select("id", F.col("byQuantity_id").alias("supplier"), F.col("byQuantity_quantity").isNotNull().alias("known")))
+_FIRST = "SELECT l_partkey AS id, s_suppkey, l_quantity, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_partkey, s_suppkey ORDER BY l_quantity DESC, l_orderkey, l_linenumber) AS r FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_partkey IN (SELECT p_partkey FROM part)"
+_add("junction_order", "{ parts { id byQuantity { id quantity } } }",
+     f"SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY l_quantity DESC, l_orderkey, l_linenumber, s_suppkey) - 1 AS INTEGER) AS pos, s_suppkey AS supplier, l_quantity AS quantity FROM ({_FIRST}) WHERE r = 1",
+     lambda df: _each("byQuantity pos")(df).withColumnsRenamed({"byQuantity_id": "supplier", "byQuantity_quantity": "quantity"}))
 _add("where_outer_join", '{ customers { id orders(status: "P") { id } } }', "SELECT c_custkey AS id, o_orderkey AS orders_id FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus = 'P'", _each("orders outer"))
 _add("where_batch", '{ customers { id ordersBatch(status: "P") { id } } }', "SELECT c_custkey AS id, o_orderkey AS ordersBatch_id FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P'", _each("ordersBatch outer"))
 _add("batch_one_many", "{ customers { id events { id kind } } }", "SELECT c_custkey AS id, event_id AS events_id, event_type AS events_kind FROM customer LEFT JOIN events ON user_id = c_custkey", _each("events outer"))

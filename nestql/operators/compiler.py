@@ -161,6 +161,17 @@ class Compiler:
         s += [(f"t:{k}", last) for k in node.type.key if (f"t:{k}", True) not in s and (f"t:{k}", False) not in s]
         return s, lambda name: (node.j if name[0] == "j" else node.t)[name[2:]]
 
+    def precedence(self, rows: DataFrame, node: PlanNode) -> list[Column]:
+        """Which of the rows of one object stands for it: the first in the order, then by the junction's key, then by the values asked for."""
+        s, of = self.sort(node)
+        if node.edge.paginate and node.keyset and node.args.get("last") is not None:  # backward pages have the objects of forward ones
+            s = order.flipped(s)
+        key = (node.edge.junction.key or ()) if node.j is not None else ()
+        out = order.columns(s + [(f"j:{k}", False) for k in key], of)
+        leaves = [] if isinstance(node.type, ScalarTable) else [self.leaf(node, o) for o in node.outputs.values() if o.kind == "leaf" and not isinstance(o.what, Constant)]
+        kinds = rows.select(*[c.alias(f"v{i}") for i, c in enumerate(leaves)]).schema.fields
+        return out + [c.asc_nulls_first() for c, f in zip(leaves, kinds, strict=True) if isinstance(f.dataType, T.AtomicType)]
+
     def page(self, node: PlanNode, df: DataFrame) -> tuple[DataFrame, int | None, int]:
         """Apply the cursor; returns what is left, the page size and the offset."""
         a = node.args
@@ -333,7 +344,12 @@ class Compiler:
         names, edge = [f"_l{i}" for i in range(len(link))], node.edge
         if not node.type.unique or node.j is not None:  # what joins bring twice is one object
             # dealt by link once: duplicates, windows and lists all find it so
-            rows = rows.withColumn("_k", self.key(node)).select(*link, "*").repartition(*names).dropDuplicates([*names, "_k"]).drop("_k")
+            rows = rows.withColumn("_k", self.key(node)).select(*link, "*").repartition(*names)
+            if node.j is not None or any(c[2:] not in node.type.key for c, _ in self.sort(node)[0]):
+                w = Window.partitionBy(*names, "_k").orderBy(*self.precedence(rows, node))
+                rows = rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_k")
+            else:  # the order can't tell the rows of an object apart
+                rows = rows.dropDuplicates([*names, "_k"]).drop("_k")
             link = [F.col(n) for n in names]
         total = None
         if edge.connection and edge.paginate and self.wants(node, "total"):

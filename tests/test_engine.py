@@ -156,3 +156,26 @@ def test_plan_reads_only_what_is_asked(joined, spark, tmp_path):
     s = schema([Entity("T", str(tmp_path / "t.parquet"), ["id"], {"id": Col(), "a": Col(), "b": Col()})], {"ts": Edge("T", where=lambda t, args, ctx, node: t["a"] > 5)})
     plan = Engine(spark, s).query("{ ts { a } }")._jdf.queryExecution().toString()
     assert "ReadSchema: struct<a:bigint>" in plan and "GreaterThan(a,5)" in plan
+
+
+def test_repeated_junction_rows_leave_the_first_in_the_order(spark):
+    from nestql.sources.schema import Col, Edge, Entity, Junction, schema
+
+    lines = [(p, s, q, n) for p in range(20) for s in (1, 2) for n, q in enumerate((3, 9, 9, 5))]
+    table = spark.createDataFrame(lines, "part int, supplier int, quantity int, line int").repartition(7, "quantity", "line")
+    seller = Entity("Seller", spark.createDataFrame([(1,), (2,)], "id int"), ["id"], {"id": Col(), "quantity": Col(), "line": Col()})
+
+    def edge(order, **more):
+        j = Junction(table, parent=("id", "part"), child=("supplier", "id"), include={"quantity": Col(), "line": Col()}, key=("line",), order_by=order)
+        return Edge("Seller", junction=j, **more)
+
+    part = Entity("Part", spark.range(20).selectExpr("cast(id AS int) AS id"), ["id"], {
+        "id": Col(), "most": edge([("quantity", "desc"), ("supplier", "asc")]), "least": edge([("quantity", "asc"), ("supplier", "desc")]),
+        "top": edge([("quantity", "desc"), ("supplier", "asc")], limit=1), "plain": edge(None, order_by="id"),
+    })
+    s = schema([seller, part], {"parts": Edge("Part", order_by="id")})
+    fields = "{ id quantity line }"
+    got = Engine(spark, s).data(f"{{ parts {{ most {fields} least {fields} top {fields} plain {fields} }} }}")["parts"]
+    for p in got:
+        rows = {k: [tuple(x.values()) for x in v] for k, v in p.items()}
+        assert rows == {"most": [(1, 9, 1), (2, 9, 1)], "least": [(2, 3, 0), (1, 3, 0)], "top": [(1, 9, 1)], "plain": [(1, 3, 0), (2, 3, 0)]}
