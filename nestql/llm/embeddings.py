@@ -10,8 +10,9 @@ Vectors at half the angle limit or less from a pivot are all linked with each ot
 form a canopy, counted without comparing. Each vector belongs to one canopy at most; what is left of a hot bucket is
 compared with it in blocks, the canopy's own vectors only once each.
 
-Cases: vectors that are null, empty, zero, of another dimension than most, or hold null or non-finite parts link with
-nothing. Repeated rows with equal vec_id are rows of their own, and link if their vectors do. A null vec_id takes part;
+Each dimension has its own projections and buckets, so only vectors of equal dimension meet.
+
+Cases: vectors that are null, empty, zero, or hold null or non-finite parts link with nothing. Repeated rows with equal vec_id are rows of their own, and link if their vectors do. A null vec_id takes part;
 its component is the smallest id that is there. An empty table gives no rows. Other columns are ignored.
 """
 
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,31 +41,35 @@ def hyperplanes(dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def keys(x: np.ndarray) -> np.ndarray:
-    """A bucket number in each table for each row of unit vectors."""
+    """A bucket number in each table for each row of unit vectors; the dimension is part of it."""
     a, b = hyperplanes(x.shape[1])
     q = np.floor((x @ a + b) / WIDTH).astype(np.int64).astype(U).reshape(len(x), TABLES, ROWS)
-    out = np.broadcast_to(np.arange(TABLES, dtype=U), (len(x), TABLES))
+    out = np.broadcast_to(np.arange(TABLES, dtype=U) + U(TABLES * x.shape[1]), (len(x), TABLES))
     for j in range(ROWS):
         out = mix(out * U(BASE) + q[:, :, j])
     return out
 
 
-def units(df: DataFrame, dim: int) -> DataFrame:
+def units(df: DataFrame) -> DataFrame:
     """vec_id, node (unique), unit (doubles) and keys; null unit and keys for a vector that links with nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column(2).to_pylist()
-            ok = [i for i, r in enumerate(rows) if r is not None and len(r) == dim and None not in r]
-            x = np.array([rows[i] for i in ok], np.float64).reshape(len(ok), dim)
-            big = np.abs(x).max(axis=1, initial=0)
-            fine = np.isfinite(big) & (big > 0)
-            ok, x, big = np.array(ok, np.int64)[fine], x[fine], big[fine]
-            x = x / big[:, None]
-            x /= np.sqrt((x * x).sum(axis=1))[:, None]
             unit, key = [None] * len(rows), [None] * len(rows)
-            for i, u, k in zip(ok.tolist(), x, keys(x) if len(x) else [], strict=True):
-                unit[i], key[i] = u.tobytes(), k.astype(np.int64)
+            by: dict[int, list[int]] = {}
+            for i, r in enumerate(rows):
+                if r and None not in r:
+                    by.setdefault(len(r), []).append(i)
+            for ok in by.values():
+                x = np.array([rows[i] for i in ok], np.float64)
+                big = np.abs(x).max(axis=1, initial=0)
+                fine = np.isfinite(big) & (big > 0)
+                ok, x, big = np.array(ok, np.int64)[fine], x[fine], big[fine]
+                x = x / big[:, None]
+                x /= np.sqrt((x * x).sum(axis=1))[:, None]
+                for i, u, k in zip(ok.tolist(), x, keys(x) if len(x) else [], strict=True):
+                    unit[i], key[i] = u.tobytes(), k.astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(unit, pa.binary()), pa.array(key, pa.list_(pa.int64()))], names=["vec_id", "node", "unit", "keys"])
 
     df = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.monotonically_increasing_id().alias("node"), F.col("embedding").cast("array<double>").alias("v"))
@@ -91,9 +97,10 @@ def compare(threshold: float):
 
     def run(table: pa.Table) -> pa.Table:
         node, canopy, side, spot, key = (table.column(c).to_numpy() for c in ("node", "canopy", "side", "spot", "key"))
-        order = np.lexsort((spot, key))
-        cuts = np.flatnonzero((np.diff(key[order]) != 0) | (np.diff(spot[order]) != 0)) + 1
         unit, sign = table.column("unit"), table.column("keys")
+        size = pc.binary_length(unit).to_numpy()  # if keys of two dimensions clash
+        order = np.lexsort((size, spot, key))
+        cuts = np.flatnonzero((np.diff(key[order]) != 0) | (np.diff(spot[order]) != 0) | (np.diff(size[order]) != 0)) + 1
         out: list[tuple[np.ndarray, ...]] = []
         for idx in np.split(order, cuts):
             if len(idx) < 2:
@@ -133,8 +140,7 @@ def near(df: DataFrame, threshold: float = 0.95, hot: int = HOT, block: int = BL
     """vec_id, n_links, component_id, kept: a row for each row of df (vec_id, embedding)."""
     spark = df.sparkSession
     scratch, limit = Scratch(spark, "embeddings"), math.acos(threshold)
-    dims = df.select(F.size("embedding").alias("n")).filter("n > 0").groupBy("n").count().orderBy(F.desc("count"), "n").first()
-    rows = scratch.write(units(df, dims["n"] if dims else 0), "units")
+    rows = scratch.write(units(df), "units")
     valid = rows.filter("unit is not null")
     placed = scratch.write(valid.select("vec_id", "node", F.explode("keys").alias("key")), "placed")
     size = placed.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("vec_id", "node")).alias("first")).filter("size > 1")
@@ -142,7 +148,7 @@ def near(df: DataFrame, threshold: float = 0.95, hot: int = HOT, block: int = BL
     large = size.filter(F.col("size") > hot)
     pivots = large.join(valid.select(F.col("node").alias("first"), F.col("unit").alias("pivot")), "first").select("key", "first", "pivot")
     near_pivot = placed.join(pivots, "key").join(valid.select("node", "unit"), "node")
-    near_pivot = angles(near_pivot, ["node", "first"], "node long, first long").filter(F.col("angle") <= limit / 2 - 1e-9)
+    near_pivot = angles(near_pivot.filter("octet_length(unit) = octet_length(pivot)"), ["node", "first"], "node long, first long").filter(F.col("angle") <= limit / 2 - 1e-9)
     canopies = scratch.write(near_pivot.groupBy("node").agg(F.min("first").alias("canopy")), "canopies")
     inside = placed.join(size, "key").join(canopies, "node", "left").withColumn("canopy", F.coalesce("canopy", F.lit(-1)))
     inside = scratch.write(inside.select("key", "node", "size", "canopy"), "inside")

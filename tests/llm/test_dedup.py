@@ -215,3 +215,15 @@ def test_embeddings(spark, hot, block):
 
 def test_embeddings_empty(spark):
     assert embeddings.near(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+@pytest.mark.parametrize(("hot", "block"), [(10_000, 1024), (8, 4)])
+def test_embeddings_of_mixed_dimensions(spark, hot, block):
+    rng = np.random.default_rng(3)
+    rows = [(n, v.tolist()) for n, v in enumerate(rng.standard_normal((60, 16)))]
+    small = [v.tolist() for v in rng.standard_normal((5, 8))]
+    rows += [(100 + i, small[i % 5]) for i in range(60)] + [(200, [2.0]), (201, [5.0]), (202, [-1.0]), (203, small[0] + [0.0])]
+    got = {r["vec_id"]: r for r in embeddings.near(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.95, hot, block).collect()}
+    assert {(got[100 + i]["n_links"], got[100 + i]["component_id"]) == (11, 100 + i % 5) for i in range(60)} == {True}
+    assert [(got[i]["n_links"], got[i]["component_id"]) for i in (200, 201, 202, 203)] == [(1, 200), (1, 200), (0, 202), (0, 203)]
+    assert all(got[i]["n_links"] == 0 for i in range(60))
