@@ -1,14 +1,15 @@
 """Language identification by language-bitmask n-gram filters.
 
-All languages share one bit-sliced Bloom filter: each slot holds a mask with a bit for each language. An n-gram of a
+All languages share one bit-sliced Bloom filter: each slot holds a mask with a bit for each language, of as many 64-bit
+words as that takes. An n-gram of a
 language sets its bit in HASHES slots; a lookup ANDs the slots' masks and so returns all languages that contain the
 n-gram at once. For a text, each language's bits are counted over all n-grams, and the count is corrected for the false
 positives to be expected from the share of slots that have the language's bit. The language with the largest
 corrected share decides.
 
-Learnt from a bounded sample: at most SAMPLE documents with a language that aren't held out. An n-gram belongs to a
-language if at least MIN_SHARE of the language's sampled documents, and two of them, hold it. At most 64 languages, the
-most frequent of the sample.
+Learnt from a bounded sample of the documents with a language that aren't held out: SAMPLE documents dealt evenly to the
+languages, but EACH of a language at least, or all it has. An n-gram belongs to a language if at least MIN_SHARE of the
+language's sampled documents, and two of them, hold it.
 
 Cases: ``und`` with score 0 for a text that is null or without a letter, or if there was nothing to learn from. A text
 with letters but no known n-gram gets the most frequent language, with score 0; ties go to the more frequent language.
@@ -18,7 +19,6 @@ whole, in windows.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from .store import small_batches
 from .textvec import BASE, U, grouped, mix
-from .training import held_out, sample
+from .training import held_out, sample_each
 
-SAMPLE, N, SLOTS, HASHES, MIN_SHARE = 6000, 4, 1 << 20, 3, 0.02
+SAMPLE, EACH, N, SLOTS, HASHES, MIN_SHARE = 6000, 20, 4, 1 << 20, 3, 0.02
 WINDOW = 1 << 20
 
 
@@ -66,16 +66,21 @@ class Filters:
         return [((h >> U(20 * i)) % U(SLOTS)).astype(np.int64) for i in range(HASHES)]
 
     @classmethod
-    def learn(cls, rows: list[tuple[str, str]]) -> Filters:
-        by = Counter(lang for _, lang in rows)
-        languages = sorted(by, key=lambda x: (-by[x], x))[:64]
-        masks = np.zeros(SLOTS, U)
-        for bit, lang in enumerate(languages):
-            found = np.concatenate([np.unique(grams(padded(t))) for t, x in rows if x == lang])
+    def learn(cls, rows: list[tuple[str, str]], languages: list[str] | None = None) -> Filters:
+        """languages: the most frequent first, if the rows don't tell."""
+        by: dict[str, list[str]] = {}
+        for text, lang in rows:
+            by.setdefault(lang, []).append(text)
+        languages = languages or sorted(by, key=lambda x: (-len(by[x]), x))
+        masks = np.zeros((SLOTS, -(-len(languages) // 64)), U)
+        fill = np.zeros(len(languages))
+        for i, lang in enumerate(languages):
+            word, bit = divmod(i, 64)
+            found = np.concatenate([np.unique(grams(padded(t))) for t in by.get(lang, [""])])
             code, n = np.unique(found, return_counts=True)
-            for s in cls.slots(code[n >= max(2, MIN_SHARE * by[lang])]):
-                masks[s] |= U(1) << U(bit)
-        fill = np.array([np.count_nonzero(masks & (U(1) << U(b))) / SLOTS for b in range(len(languages))])
+            for s in cls.slots(code[n >= max(2, MIN_SHARE * len(by.get(lang, ())))]):
+                masks[s, word] |= U(1) << U(bit)
+            fill[i] = np.count_nonzero(masks[:, word] & (U(1) << U(bit))) / SLOTS
         return cls(languages, masks, fill**HASHES)
 
     def shares(self, texts: list[str]) -> np.ndarray:
@@ -93,20 +98,22 @@ class Filters:
             size = np.array([len(c) for c in codes])
             code = np.concatenate(codes)
             first, *rest = self.slots(code)
-            mask = self.masks[first]
-            for s in rest:
-                mask &= self.masks[s]
             text = np.repeat(np.array(owner), size)
             total += np.bincount(text, minlength=len(texts))
-            for bit in range(len(self.languages)):
-                hits[:, bit] += np.bincount(text[(mask >> U(bit)) & U(1) == 1], minlength=len(texts))
+            for word in range(self.masks.shape[1]):
+                masks = self.masks[:, word]
+                mask = masks[first]
+                for s in rest:
+                    mask &= masks[s]
+                for bit, i in enumerate(range(64 * word, min(64 * word + 64, len(self.languages)))):
+                    hits[:, i] += np.bincount(text[(mask >> U(bit)) & U(1) == 1], minlength=len(texts))
         wrong = self.wrong[None, :]
         return np.clip((hits / np.maximum(total, 1)[:, None] - wrong) / np.maximum(1 - wrong, 1e-9), 0, 1)
 
 
 def learn(docs: DataFrame) -> Filters:
-    rows = sample(docs, docs, "lang", SAMPLE)
-    return Filters.learn([(t, str(x)) for t, x in rows])
+    rows, languages = sample_each(docs, "lang", SAMPLE, EACH)
+    return Filters.learn([(t, str(x)) for t, x in rows], [str(x) for x in languages])
 
 
 def identify(docs: DataFrame, filters: Filters, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -75,6 +75,20 @@ def test_bloom_filter_returns_all_languages_and_windows_agree(monkeypatch):
     assert (abs(f.shares([EN * 50, DE, ""]) - whole) < 1e-12).all()
 
 
+def test_languages_beyond_one_mask_and_rare_ones(spark, monkeypatch):
+    rng = random.Random(5)
+    own = {f"x{k:02}": ["".join(rng.choices("bcdfghjklmnpqrstvwxz", k=7)) for _ in range(30)] for k in range(70)}
+    rows = [(1000 * k + i, " ".join(rng.choices(v, k=40)), lang, "s", 0) for k, (lang, v) in enumerate(own.items()) for i in range(12)]
+    got = langid.predict(frame(spark, rows)).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {r[0]: r[2] for r in rows}
+    # a language of a hundredth of the rows, and a sample of a tenth of them
+    common = [(i, " ".join(rng.choices(own["x00"], k=40)), "x00", "s", 0) for i in range(600)]
+    rare = [(10_000 + i, " ".join(rng.choices(own["x01"], k=40)), "x01", "s", 0) for i in range(6)]
+    monkeypatch.setattr(langid, "SAMPLE", 60)
+    got = {r["doc_id"]: r for r in langid.predict(frame(spark, common + rare)).collect()}
+    assert all(got[r[0]]["lang_pred"] == r[2] and got[r[0]]["score"] > 0.25 for r in rare)
+
+
 # --- toxicity ------------------------------------------------------------------------------------------------------
 
 
