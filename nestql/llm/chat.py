@@ -3,8 +3,8 @@
 An assistant's text may hold ``<tool_call>{"id", "name", "arguments", "after"}</tool_call>``; a message of role ``tool``
 is ``{"tool_call_id", "content"}``. Calls and results are linked by a hash join on conversation and identifier. Their order is
 topological: a result comes after its call, a call after the results of the calls it names in ``after``. Arguments are
-checked against a JSON schema by tool name. Each event leaves as canonical JSON: sorted keys, no white space, no escapes
-that aren't needed.
+checked against a JSON schema by tool name: those of ``tools.json`` ({name: schema}) beside the tables if it is there,
+else TOOLS. Each event leaves as canonical JSON: sorted keys, no white space, no escapes that aren't needed.
 
 A conversation may hold a third of all rows, so none is ever gathered: each event carries its place, (conv_id, at, depth,
 turn, pos), by which a range sort writes conversations in order.
@@ -22,7 +22,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import Scratch, small_batches
@@ -31,6 +31,31 @@ _CALL = re.compile(r"<tool_call>(.*?)</tool_call>", re.S)
 EVENTS = "conv_id long, turn long, pos int, kind string, call_id string, after array<string>, error string, json string"
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict, "null": type(None)}
 
+_TEXT, _COUNT = {"type": "string"}, {"type": "integer", "minimum": 1}
+
+
+def _tool(required: list[str], **properties: dict) -> dict:
+    return {"type": "object", "properties": properties, "required": required, "additionalProperties": False}
+
+
+#: Schemas of the arguments by tool name, for tables that come without a tools.json of their own.
+TOOLS: dict[str, dict] = {
+    "search": _tool(["query"], query=_TEXT, limit=_COUNT),
+    "fetch": _tool(["url"], url=_TEXT),
+    "calculate": _tool(["expression"], expression=_TEXT),
+    "run_code": _tool(["code"], code=_TEXT, language={"type": "string", "enum": ["python", "javascript", "sql", "bash"]}),
+    "read_file": _tool(["path"], path=_TEXT, offset={"type": "integer", "minimum": 0}, limit=_COUNT),
+    "write_file": _tool(["path", "content"], path=_TEXT, content=_TEXT),
+}
+
+
+def tools(spark: SparkSession, folder: str) -> dict[str, dict]:
+    """The schemas for the conversations of a folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/tools.json")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return TOOLS
+    return json.loads(spark.read.text(path.toString(), wholetext=True).first()["value"])
+
 
 def canonical(value: object) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)

@@ -30,7 +30,7 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.link(table(spark, sf_dir, "conversations"))
+    return chat.link(table(spark, sf_dir, "conversations"), chat.tools(spark, sf_dir))
 
 
 def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

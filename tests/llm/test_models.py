@@ -268,6 +268,21 @@ def test_tool_calls(spark):
     assert chat.link(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_query_checks_arguments(spark, tmp_path):
+    from nestql.llm.queries import op4_tool_call_linking
+
+    turns = [(1, 0, "assistant", call("x", "search", query="q", limit=2) + call("y", "search", query=1) + call("z", "add", a=1) + call("w", "add", a=-1))]
+    turns += [(1, i + 1, "tool", json.dumps({"tool_call_id": k, "content": 0})) for i, k in enumerate("xyzw")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+
+    def status():
+        return {r["call_id"]: r["status"] for r in op4_tool_call_linking(spark, str(tmp_path)).collect() if r["kind"] == "call"}
+
+    assert status() == {"x": "ok", "y": "$.query: not string", "z": "unknown tool add", "w": "unknown tool add"}
+    (tmp_path / "tools.json").write_text(json.dumps(SCHEMAS, indent=1))
+    assert status() == {"x": "unknown tool search", "y": "unknown tool search", "z": "ok", "w": "$.a: out of range"}
+
+
 # --- pipeline ------------------------------------------------------------------------------------------------------
 
 
