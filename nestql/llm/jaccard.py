@@ -1,9 +1,9 @@
-"""Similarity join on word shingles: MinHash LSH forest, then exact verification of every pair in a candidate group.
+"""Similarity join on word shingles: MinHash banding, then exact verification of every pair in a candidate group.
 
-Signatures form ``TREES`` labels of up to ``DEPTH`` values each. Documents whose labels in a tree share a prefix meet. The
-prefix is shortened from the full depth until a pair at the threshold is found with the target recall:
-1 - (1 - t^d)^TREES >= target. Prefix groups give star-shaped candidate links, whose components are the groups in which
-all pairs are compared exactly, so a group finds more than the forest does. Groups are dealt out in blocks of bounded
+Signatures form ``TREES`` bands of d values each, and documents that agree in a band meet. d is fixed: the most, up to
+``DEPTH``, at which a pair at the threshold is found with the target recall, 1 - (1 - t^d)^TREES >= target. It is no LSH
+forest: labels aren't sorted, and no document gets a shorter prefix than another. Bands give star-shaped candidate
+links, whose components are the groups in which all pairs are compared exactly, so a group finds more than the bands do. Groups are dealt out in blocks of bounded
 weight, and large ones in pairs of blocks; only counts and a spanning forest of the links leave a block.
 
 Documents with the same shingle set are one node with a multiplicity, so copies are never compared.
@@ -32,7 +32,7 @@ BLOCK_SHINGLES, BLOCK_DOCS, SLICE = 1_000_000, 1024, 1 << 20
 
 
 def depth_for(threshold: float, trees: int = TREES, deepest: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix at which a pair at the threshold is found with the recall asked for."""
+    """The most values of a band at which a pair at the threshold is found with the recall asked for."""
     d = deepest
     while d > 1 and 1 - (1 - threshold**d) ** trees < recall:
         d -= 1
@@ -49,7 +49,7 @@ def signature(s: np.ndarray, n: int) -> np.ndarray:
 
 
 def labels(s: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """A key for each tree: its number and its prefix."""
+    """A key for each tree: its number and its values."""
     values = signature(s, trees * depth).reshape(trees, depth)
     key = np.arange(trees, dtype=U)
     for j in range(depth):
