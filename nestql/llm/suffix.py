@@ -6,7 +6,8 @@ smallest 24-byte hash inside (their minimizer), and all windows with the same mi
 
 1. Documents become segments, a table that is bucketed, so that later steps read it in place.
 2. Neighbouring windows with the same minimizer form a run. Runs meet by minimizer, as sorted arrays of fingerprints: a
-   minimizer of one document only can't repeat; runs of equal bytes have one representative, in the smallest doc_id.
+   minimizer of one document only can't repeat; runs of equal fingerprints are taken to be equal, without
+   comparing bytes, and have one representative, in the smallest doc_id; the others are removed on that alone.
 3. Representatives meet with their bytes and are suffix-sorted: positions that are 1 or 2 modulo 3 are sampled; their
    triples of eight-byte words are sorted and named; the names, 24 bytes apart, are sorted and named again (48 bytes).
    For any two suffixes one shift of 0, 1 or 2 leads both to sampled positions, so the remaining suffixes are merged by
