@@ -2,11 +2,16 @@
 
 Each source gets a mean repetition rate: its share of the target divided by its share of the corpus, in characters. A
 document's count inverts the Poisson distribution with that mean at a number hashed from the seed and the document, so
-the same input gives the same mix on any cluster. Rows are exploded by count and put in the order of another hash.
+the same input gives the same mix on any cluster. Rows are exploded by count and put in the order of another hash, whose
+leading bits choose the partition: a global order without sampling.
+
+The distribution is a table of cumulative probabilities for each source, built once, in one way for every mean: from 12 standard
+deviations and 20 below the mean to as much above it. What lies outside has less probability than the hashed number resolves.
 
 Cases: rows of a null source form one source, whose weight is that of the key None. Null or empty texts have no
 characters; a source that has none at all is repeated by its share of rows. Repeated rows share their draw unless they
-differ in doc_id or text. A source without a weight gets default_weight. Extra columns are kept.
+differ in doc_id or text. A source without a weight gets default_weight; one of weight 0 goes. Extra columns are kept, whatever
+their names; mix() replaces those called replica or shuffle_key, repeated() doesn't.
 """
 
 from __future__ import annotations
@@ -16,9 +21,6 @@ from pyspark.sql import functions as F
 
 from .store import Scratch
 
-#: A larger mean is the sum of several draws, since exp(-mean) must not vanish.
-MOST = 500.0
-
 
 def unit(*parts: Column) -> Column:
     """A number in [0, 1) from the first 52 bits of an MD5, the same in any engine."""
@@ -26,43 +28,62 @@ def unit(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def poisson(u: Column, mean: Column) -> Column:
-    """The smallest k whose cumulative probability is above u. Sums of terms in order; stops far in the tail."""
-    top = F.ceil(mean + 12 * F.sqrt(mean) + 20).cast("int")
-    start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.lit(0).alias("k"))
-    def step(s: Column, i: Column) -> Column:
-        p = s["p"] * mean / i
-        return F.struct(p.alias("p"), (s["c"] + p).alias("c"), F.when(s["c"] <= u, i).otherwise(s["k"]).alias("k"))
-    return F.when(mean <= 0, F.lit(0)).otherwise(F.aggregate(F.sequence(F.lit(1), top), start, step, lambda s: s["k"]))
+def cumulative(mean: Column, low: Column) -> Column:
+    """The cumulative probabilities of a Poisson distribution with this mean, from low on."""
+    high = F.ceil(mean + 12 * F.sqrt(mean) + 20).cast("int")
+
+    def step(s: Column, k: Column) -> Column:
+        p = s["p"] * mean / k
+        return F.struct(p.alias("p"), (s["sum"] + p).alias("sum"), F.concat(s["all"], F.array(s["sum"] + p)).alias("all"))
+
+    one = F.lit(1.0)
+    start = F.struct(one.alias("p"), one.alias("sum"), F.array(one).alias("all"))
+    return F.aggregate(F.sequence(low + 1, high), start, step, lambda s: F.transform(s["all"], lambda c: c / s["sum"]))
 
 
 def rates(docs: DataFrame, weights: dict[str | None, float], default_weight: float, size: float) -> DataFrame:
-    """_source, _rate: a row for each source. size: rows wanted as a multiple of those that are there, by characters."""
+    """source_name, low, table: a row for each source. size: rows wanted as a multiple of those that are there, by characters."""
     weight = F.lit(float(default_weight))
     for source, w in weights.items():
         weight = F.when(F.col("source").eqNullSafe(F.lit(source)), F.lit(float(w))).otherwise(weight)
     by = docs.groupBy("source").agg(F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"), F.count("*").alias("rows"))
-    by = Scratch(docs.sparkSession, "mix").write(by.withColumn("w", weight), "sources")
+    scratch = Scratch(docs.sparkSession, "mix")
+    by = scratch.write(by.withColumn("w", weight), "sources")
     total = by.agg(F.sum("chars").alias("chars"), F.sum("rows").alias("rows"), F.sum("w").alias("w")).first()
     share = F.when(F.col("chars") > 0, F.lit(total["chars"]) / F.col("chars")).otherwise(F.lit(total["rows"]) / F.col("rows"))
-    return by.select(F.col("source").alias("_source"), (F.lit(float(size)) * F.col("w") / F.lit(total["w"]) * share).alias("_rate"))
+    rate = by.select("source", (F.lit(float(size)) * F.col("w") / F.lit(total["w"]) * share).alias("mean")).filter("mean > 0")
+    rate = rate.withColumn("low", F.greatest(F.lit(0), F.floor(F.col("mean") - 12 * F.sqrt("mean") - 20)).cast("int"))
+    return scratch.write(rate.select(F.col("source").alias("source_name"), "low", cumulative(F.col("mean"), F.col("low")).alias("table")), "tables")
+
+
+def _repeat(docs: DataFrame, weights: dict[str | None, float] | None, default_weight: float, size: float, seed: int) -> DataFrame:
+    """The columns of docs by number (c0, c1, ...), then replica and shuffle_key."""
+    doc_id, text, source = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text", "source"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    table = rates(docs.select("source", "text"), weights or {}, default_weight, size)
+    digest = F.md5(F.coalesce(text, F.lit("")))
+    # below the join, so that each is computed once for a row
+    rows = docs.toDF(*names).withColumn("digest", digest).withColumn("u", unit(F.lit(seed), F.lit("count"), doc_id, F.col("digest"), F.lit(1)))
+    # the table of sources is small or not: Spark measures it, and splits a hot source if it must join by shuffle
+    rows = rows.join(table, source.eqNullSafe(F.col("source_name")))
+    count = F.col("low") + F.size(F.filter("table", lambda c: c <= F.col("u")))
+    rows = rows.select(*names, "digest", F.posexplode_outer(F.array_repeat(F.lit(True), count)).alias("replica", "there")).filter("there")
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("~")), "replica", "digest"))
+    rows = rows.select(*names, "replica", key.alias("shuffle_key"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.floor(F.conv(F.substring("shuffle_key", 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52)) * n).cast("int")
+    return rows.repartitionById(n, part).sortWithinPartitions("shuffle_key")
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, default_weight: float = 1.0, size: float = 1.0, seed: int = 17) -> DataFrame:
     """The columns of docs, then replica (from 0) and shuffle_key, in the order of shuffle_key."""
-    names = [c for c in docs.columns if c.lower() not in ("replica", "shuffle_key", "_source", "_rate", "_n")]
-    docs = docs.select(*names)
-    table = rates(docs, weights or {}, default_weight, size)
-    # the table of sources is small or not: Spark measures it, and splits a hot source if it must join by shuffle
-    joined = docs.join(table, F.col("source").eqNullSafe(F.col("_source")), "left")
-    text = F.md5(F.coalesce("text", F.lit("")))
-    draws = F.greatest(F.lit(1), F.ceil(F.col("_rate") / MOST).cast("int"))
-    def draw(n: Column, i: Column) -> Column:
-        return n + poisson(unit(F.lit(seed), F.lit("count"), F.col("doc_id"), text, i), F.col("_rate") / draws)
-    count = F.aggregate(F.sequence(F.lit(1), draws), F.lit(0), draw)
-    rows = joined.withColumn("_n", count).filter("_n > 0").select(*names, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("replica"))
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), "replica", text))
-    return rows.withColumn("shuffle_key", key).orderBy("shuffle_key")
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("replica", "shuffle_key")])
+    return _repeat(docs, weights, default_weight, size, seed).toDF(*docs.columns, "replica", "shuffle_key")
+
+
+def repeated(docs: DataFrame, weights: dict[str | None, float] | None = None, default_weight: float = 1.0, size: float = 1.0, seed: int = 17) -> DataFrame:
+    """The columns of docs alone, in the order of the same hash."""
+    return _repeat(docs, weights, default_weight, size, seed).drop("replica", "shuffle_key").toDF(*docs.columns)
 
 
 def oracle(seed: int = 17) -> str:
