@@ -34,15 +34,15 @@ def cut(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seen = encoder(tokenizer, kind), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        end = np.uint32(end_id).tobytes()
         for batch in batches:
             out: list[tuple] = []
-            for doc, ids in zip(batch.column(0).to_pylist(), enc.ids(batch.column(1).to_pylist()), strict=True):
-                ids += end
-                n, start = len(ids) // 4, 0
+            ids, at = enc.encode(batch.column(1), end_id)
+            raw = memoryview(ids.astype("<u4", copy=False)).cast("B") if len(ids) else b""
+            for doc, a, b in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                n, start = b - a, 0
                 size = n if n <= capacity else n % capacity or capacity
                 for piece in range(-(-n // capacity)):
-                    crc = zlib.crc32(ids[4 * start : 4 * (start + size)])
+                    crc = zlib.crc32(raw[4 * (a + start) : 4 * (a + start + size)])
                     out.append((doc, piece, start, size, crc, part, int(seen[size])))
                     seen[size] += 1
                     start, size = start + size, capacity

@@ -181,7 +181,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, kind: str, end_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        enc, end, writer = encoder(tokenizer, kind), np.uint32(end_id).tobytes(), None
+        enc, writer = encoder(tokenizer, kind), None
         part = TaskContext.get().partitionId()
         path = f"{folder}/shard-{part:06d}-{uuid.uuid4().hex}.sst"
         store, inner = fs.FileSystem.from_uri(path)
@@ -189,8 +189,9 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, kind: str, end_id
             if writer is None:
                 store.create_dir(inner.rsplit("/", 1)[0], recursive=True)
                 writer = Writer(store.open_output_stream(inner))
-            for doc, ids in zip(batch.column(0).to_pylist(), enc.ids(batch.column(1).to_pylist()), strict=True):
-                writer.add(key_of(doc), np.frombuffer(ids + end, "<u4"))
+            ids, at = enc.encode(batch.column(1), end_id)
+            for doc, a, b in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                writer.add(key_of(doc), ids[a:b])
         if writer is not None:
             writer.close()
             writer.sink.close()
@@ -210,15 +211,18 @@ def read_shards(manifest: DataFrame) -> DataFrame:
         rows.append((r["path"], start))
         start += r["n_ids"]
 
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out, reader = [], opened(path)
-                for key, ids in reader.scan():
-                    out.append((doc_of(key), at, len(ids), zlib.crc32(ids.tobytes())))
-                    at += len(ids)
-                names = ["doc_id", "start", "n_tokens", "ids_crc32"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
+                reader = opened(path)
+                for i in range(len(reader.index)):  # a block at a time
+                    out = []
+                    for key, ids in reader.block(i):
+                        out.append((doc_of(key), at, len(ids), zlib.crc32(ids.tobytes())))
+                        at += len(ids)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
 
     shards = spark.createDataFrame(rows, "path string, start long").repartition(max(1, len(rows)))
     return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

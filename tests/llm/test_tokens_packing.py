@@ -3,9 +3,10 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from nestql.llm import packing, sstable
+from nestql.llm import packing, sstable, tokens
 from nestql.llm.queries import tokenizer
 from nestql.llm.store import Scratch
 from nestql.llm.tokens import Encoder
@@ -20,9 +21,7 @@ ODD = ["a  b", "a \n b", " x", "x ", "  ", "a\tb  c\n\n d", "’s it's 'S  ﬁ 
 def library(name):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer(name))
 
 
 def plain(name, text):
@@ -33,9 +32,27 @@ def plain(name, text):
 def test_cached_ids_equal_whole_encoding(name, kind):
     e, rng = Encoder(tokenizer(name), kind), random.Random(1)
     texts = [*ODD, *[d[1] for d in documents()], *["".join(rng.choice("ab é.,'1\n\t ") for _ in range(60)) for _ in range(200)]]
-    for _ in range(2):  # the second time from memory
-        for t, ids in zip(texts, e.ids(texts), strict=True):
-            assert np.frombuffer(ids, "<u4").tolist() == plain(name, t), repr(t)[:80]
+    texts += ["".join(rng.choice(["a", "Z", "'s", "'t", "é", "×", "Σ", "\u00a0", "\u0301", "\x85", " ", "\n", " the", "中", "<|endoftext|>", "-", "7"]) for _ in range(12)) for _ in range(300)]
+    for column in (pa.array(texts), pa.array(["x", *texts])[1:], pa.chunked_array([texts]).combine_chunks()):  # the second time from memory
+        for end in (None, 2):
+            ids, at = e.encode(column, end)
+            for i, t in enumerate(texts):
+                assert ids[at[i] : at[i + 1]].tolist() == plain(name, t) + ([] if end is None else [end]), repr(t)[:80]
+    for nothing in (pa.array([], pa.string()), pa.array([None, ""], pa.string())):
+        ids, at = e.encode(nothing)
+        assert len(ids) == 0 and at.tolist() == [0] * (len(nothing) + 1)
+
+
+def test_memory_of_pieces_is_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 100)
+    monkeypatch.setattr(tokens, "SLICE", 64)
+    monkeypatch.setattr(tokens, "JOINED", 64)
+    e, rng = Encoder(tokenizer(BYTE), "prefix"), random.Random(3)
+    for _ in range(30):
+        texts = ["".join(rng.choice("abc .") for _ in range(50)) for _ in range(10)]
+        ids, at = e.encode(pa.array(texts), 2)
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [[*plain(BYTE, t), 2] for t in texts]
+        assert len(e.number) < 400
 
 
 def optimum(items, capacity):
