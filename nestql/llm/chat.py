@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .memory import tidy
 from .store import Scratch, small_batches
 
 _CALL = re.compile(r"<tool_call>(.*?)</tool_call>", re.S)
@@ -127,6 +128,7 @@ def parse(role: str | None, text: str | None, schemas: dict[str, dict]) -> list[
 
 
 def events(turns: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []

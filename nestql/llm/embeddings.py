@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .memory import tidy, tidy_group
 from .store import Scratch
 from .textvec import BASE, U, mix
 
@@ -53,6 +54,7 @@ def keys(x: np.ndarray) -> np.ndarray:
 def units(df: DataFrame) -> DataFrame:
     """vec_id, node (unique), unit (doubles) and keys; null unit and keys for a vector that links with nothing."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column(2).to_pylist()
@@ -79,6 +81,7 @@ def units(df: DataFrame) -> DataFrame:
 def angles(df: DataFrame, keep: list[str], schema: str) -> DataFrame:
     """keep and angle, between unit and pivot."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
@@ -95,6 +98,7 @@ def compare(threshold: float):
     A task's vectors of side 0 are compared with those of side 1, or with each other if there are none.
     """
 
+    @tidy_group
     def run(table: pa.Table) -> pa.Table:
         node, canopy, side, spot, key = (table.column(c).to_numpy() for c in ("node", "canopy", "side", "spot", "key"))
         unit, sign = table.column("unit"), table.column("keys")

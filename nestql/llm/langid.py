@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import tidy
 from .store import small_batches
 from .textvec import BASE, U, grouped, mix
 from .training import held_out, sample_each
@@ -119,6 +120,7 @@ def learn(docs: DataFrame) -> Filters:
 def identify(docs: DataFrame, filters: Filters, keep: tuple[str, ...] = ()) -> DataFrame:
     """The columns keep, then lang_pred and score (the corrected share of n-grams of the language that decides)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]

@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .memory import tidy
 from .store import Scratch, small_batches
 from .tokens import encoder
 
@@ -32,6 +33,7 @@ Pattern = tuple[tuple[int, int], ...]  # (length, how many), longest first
 def cut(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: int) -> DataFrame:
     """A row for each piece. rank: its number among the pieces of its length in its partition."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seen = encoder(tokenizer, kind), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
@@ -209,6 +211,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "prefix", end_id: int = 2,
     fixed, rest = reduce(counts, capacity)
     where = slots(fixed + best_fit(rest, capacity))
 
+    @tidy
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, rank = (np.asarray(batch.column(c)) for c in ("length", "rank"))

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import tidy
 from .store import small_batches
 from .textvec import BASE, U, grouped, mix, word_hashes
 from .training import sample
@@ -182,6 +183,7 @@ def counts(texts: list[bytes]) -> list[tuple[int, int, int, int]]:
 def judge(docs: DataFrame, model: Field, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns keep, then the counts, base_failed, content_share (of words), labels (1: boilerplate) and kept."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(batch.num_columns - 1).to_pylist()]

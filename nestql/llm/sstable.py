@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import tidy
 from .store import Scratch, small_batches
 from .tokens import encoder
 
@@ -178,6 +179,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, kind: str, end_id
     A task that runs twice writes two files; only the one in the manifest counts.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
@@ -213,6 +215,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -9,16 +9,17 @@ smallest 24-byte hash inside (their minimizer), and all windows with the same mi
    minimizer of one document only can't repeat; runs of equal fingerprints are taken to be equal, without
    comparing bytes, and have one representative, in the smallest doc_id; the others are removed on that alone.
 3. Representatives meet with their bytes and are suffix-sorted: positions that are 1 or 2 modulo 3 are sampled; their
-   triples of eight-byte words are sorted and named; the names, 24 bytes apart, are sorted and named again (48 bytes).
-   For any two suffixes one shift of 0, 1 or 2 leads both to sampled positions, so the remaining suffixes are merged by
-   the bytes before a name and the name. Neighbours in the order that agree in 50 bytes share their smallest doc_id.
+   triples of eight-byte words are sorted and named; on the names one level of recursion sorts and names triples again, which
+   reaches 56 bytes. The remaining suffixes are sorted by their first byte and the name behind it, and merged with the sample:
+   one or two bytes and a name decide between any two. Neighbours in that one order are then compared byte by byte; those
+   that agree in 50 bytes share their smallest doc_id.
 4. The matched windows go back to their segments, where the bytes are cut out.
 
 Every exchange moves at most one entry for each distinct run of a segment, so copies, however many, add nothing to a
 part beyond an entry for each segment that holds them.
 
-Cases: a null text counts as empty. A null doc_id is larger than every other; rows of equal or null doc_id never affect
-each other. Texts under 50 bytes are kept. Repeated rows are treated one by one. An empty table gives no rows. Columns
+Cases: a null text counts as empty. A null doc_id counts as the largest that there can be, 2^63 - 1; rows of equal doc_id never
+affect each other. Texts under 50 bytes are kept. Repeated rows are treated one by one. An empty table gives no rows. Columns
 other than doc_id and text are carried along, whatever their names.
 """
 
@@ -34,14 +35,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .memory import tidy, tidy_group
 from .store import Scratch, small_batches
 from .textvec import U, grouped, mix, prefix, spans, windows
 
 LENGTH, SEED, NAME = 50, 24, 24
 #: Bytes of a segment, segments of a group, bytes hashed at once, windows of a run.
-SEGMENT, GROUP, SLICE, RUN = 4 << 20, 8, 1 << 19, 64
-#: Bytes that are suffix-sorted at once, and the finest division of a part.
-SORTED, FINE = 400_000, 4096
+SEGMENT, GROUP, SLICE, RUN = 2 << 20, 4, 1 << 19, 64
+#: Bytes of text for each part, bytes that are suffix-sorted at once, and the finest division of a part.
+PART, SORTED, FINE = 4 << 20, 400_000, 4096
+DEEP = 2 * NAME + 16
 LAST = (1 << 63) - 1
 SEGMENTS = "grp long, seg long, ids array<long>, sizes array<long>, data binary, extra binary"
 
@@ -67,31 +70,48 @@ def _straight(raw: bytes, n: int, dtype: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view(dtype).ravel()
 
 
+def _cuts(texts: pa.Array) -> list[tuple[int, int]]:
+    """Ranges of rows of about half a segment."""
+    whole = texts.fill_null(b"").cast(pa.large_binary())
+    size = np.frombuffer(whole.buffers()[1], np.int64, count=len(texts) + 1, offset=8 * whole.offset) if len(texts) else np.zeros(1, np.int64)
+    at = (size[:-1] - size[0]) // (SEGMENT // 2)
+    ends = np.append(np.flatnonzero(np.diff(at)) + 1, len(texts)).tolist() if len(texts) else []
+    return list(zip([0, *ends[:-1]], ends, strict=True)) if ends else []
+
+
 def segments(docs: DataFrame) -> DataFrame:
     """Whole documents in order, about SEGMENT bytes a row."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n, size, held = TaskContext.get().partitionId(), 0, 0, []
+        part, n, size = TaskContext.get().partitionId(), 0, 0
+        ids, sizes, texts, rest = [], [], [], []
 
         def row() -> pa.RecordBatch:
-            table = pa.Table.from_batches(held)
-            ids = pa.array([LAST if i is None else i for i in table.column(0).to_pylist()], pa.int64())
-            texts = [t or b"" for t in table.column(1).to_pylist()]
-            sink = pa.BufferOutputStream()
-            rest = table.select([0, *range(2, table.num_columns)])
-            with pa.ipc.new_stream(sink, rest.schema) as w:
-                w.write_table(rest)
-            cols = [pa.array([(part << 24) + n // GROUP], pa.int64()), pa.array([(part << 24) + n], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([_zip(b"".join(texts))]), pa.array([_zip(sink.getvalue().to_pybytes())])]
+            data, sink = _zip(b"".join(texts)), pa.BufferOutputStream()
+            texts.clear()
+            with pa.ipc.new_stream(sink, rest[0].schema) as w:
+                for x in rest:
+                    w.write_batch(x)
+            rest.clear()
+            cols = [pa.array([(part << 24) + n // GROUP], pa.int64()), pa.array([(part << 24) + n], pa.int64()), *(pa.array([np.concatenate(x)], pa.list_(pa.int64())) for x in (ids, sizes)), pa.array([data]), pa.array([_zip(sink.getvalue().to_pybytes())])]
+            ids.clear(), sizes.clear()
             return pa.RecordBatch.from_arrays(cols, names=["grp", "seg", "ids", "sizes", "data", "extra"])
 
         for batch in batches:
-            held.append(batch)
-            size += batch.column(1).nbytes
-            if size >= SEGMENT:
-                yield row()
-                n, size, held = n + 1, 0, []
-        if held:
+            for a, b in _cuts(batch.column(1)):
+                x = batch.slice(a, b - a)
+                ids.append(np.asarray(x.column(0).fill_null(LAST)))
+                held = [t or b"" for t in x.column(1).to_pylist()]
+                sizes.append(np.fromiter(map(len, held), np.int64, len(held)))
+                texts.append(b"".join(held))
+                rest.append(x.select([0, *range(2, x.num_columns)]))
+                size += len(texts[-1])
+                if size >= SEGMENT:
+                    yield row()
+                    n, size = n + 1, 0
+        if rest:
             yield row()
 
     small_batches(docs.sparkSession)
@@ -170,15 +190,15 @@ def _parts(low: np.ndarray, parts: int) -> np.ndarray:
 def offer(parts: int):
     """Entries of each segment, by the part of their minimizers."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 runs = _of(row)[1]
-                part = _parts(runs.low, parts)
-                cuts = np.searchsorted(part, np.arange(parts + 1))
-                out = []
-                for p in np.unique(part).astype(np.int64).tolist():
-                    a, b = cuts[p], cuts[p + 1]
+                part, out = _parts(runs.low, parts), []
+                cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)) if len(part) else np.zeros(1, np.int64)
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    p = int(part[a])
                     low, base = runs.low[a:b], int(runs.least[a:b].min())
                     raw = _shuffled(np.diff(low, prepend=U(0))) + _shuffled(runs.mark[a:b]) + _shuffled(runs.least[a:b] - base) + runs.many[a:b].tobytes()
                     out.append((p, row["grp"], row["seg"], int(b - a), base, _zip(raw)))
@@ -188,6 +208,7 @@ def offer(parts: int):
     return run
 
 
+@tidy_group
 def represent(table: pa.Table) -> pa.Table:
     """For each entry of a part: 0 can't repeat, 1 equals a run of a smaller document, 2 stands for its equals."""
     rows = table.to_pylist()
@@ -225,16 +246,17 @@ def _codes(answers: pa.Table) -> dict[int, np.ndarray]:
 def _show(parts: int):
     """The bytes of the representatives, by part."""
 
+    @tidy_group
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         codes, out = _codes(right), []
         for row in left.to_pylist():
             data, runs = _of(row)
             entry = np.flatnonzero(codes.get(row["seg"], np.zeros(0, np.uint8)) == 2)
             head = runs.head[entry]
-            fine, start, n = _parts(runs.low[entry], parts * FINE), runs.start[head], runs.n[head]
-            part, fine = fine // U(FINE), fine % U(FINE)
-            for p in np.unique(part):
-                i = np.flatnonzero(part == p)
+            low, start, n = runs.low[entry], runs.start[head], runs.n[head]
+            part, fine = _parts(low, parts), low % U(FINE)
+            for i in np.split(np.arange(len(part)), np.flatnonzero(np.diff(part)) + 1) if len(part) else []:
+                p = part[i[0]]
                 raw = b"".join(data[a : a + k + LENGTH - 1] for a, k in zip(start[i].tolist(), n[i].tolist(), strict=True))
                 out.append((int(p), row["grp"], row["seg"], entry[i].tolist(), runs.least[entry[i]].tolist(), n[i].tolist(), fine[i].astype(np.int64).tolist(), _zip(raw)))
         cols = list(zip(*out, strict=True)) if out else [[]] * 8
@@ -244,63 +266,99 @@ def _show(parts: int):
     return run
 
 
-def _named(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
-    """Names in sorted order: equal keys have the same one."""
+def _named(*keys: np.ndarray) -> np.ndarray:
+    """Names from 0 in the order of the keys, the first first: equal keys have the same one."""
+    wide = [int(k.max()).bit_length() for k in keys]
+    if sum(wide) > 64:
+        order = np.lexsort(keys[::-1])
+    else:  # in one integer
+        key = np.zeros(len(keys[0]), U)
+        for k, w in zip(keys, wide, strict=True):
+            key = (key << U(w)) | k if w < 64 else k
+        keys, order = (key,), np.argsort(key)
     new = np.zeros(len(order), bool)
     for k in keys:
-        new[1:] |= k[order[1:]] != k[order[:-1]]
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
     out = np.zeros(len(order), U)
     out[order] = np.cumsum(new).astype(U)
     return out
 
 
-def smallest(data: bytes, n: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Suffix-sort runs by 50 bytes; for each window of each run, the smallest document that has its string.
-
-    data: the runs one after another, of n windows and so n + 49 bytes each.
-    """
-    buf = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(NAME * 2 + 8, np.uint8)])
-    begin = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
-    at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())  # where each window starts
-    owner = np.repeat(doc, n)
-    # the sample: positions 1 and 2 modulo 3, where a window starts or up to two bytes later
+def suffix_order(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The places at of buf in the order of the suffixes there, as far as 56 bytes. buf reaches DEEP bytes beyond them."""
+    word = np.lib.stride_tricks.as_strided(buf, (len(buf) - 7, 8), (1, 1))
+    # the sample: places that are 1 or 2 modulo 3, where a suffix starts or up to two bytes later
     need = np.zeros(len(buf), bool)
     for shift in range(3):
         need[at + shift] = True
     need[::3] = False
     deep = need.copy()
     deep[NAME:] |= need[:-NAME]
-    sampled = np.flatnonzero(deep)
-    word = np.lib.stride_tricks.as_strided(buf, (len(buf) - 7, 8), (1, 1))
-    a, b, c = (np.ascontiguousarray(word[sampled + 8 * k]).view(">u8").ravel().astype(U) for k in range(3))
+    words = deep.copy()
+    words[8:] |= deep[:-8]
+    words[16:] |= deep[:-16]
+    words[48:] |= need[:-48]
     place = np.zeros(len(buf), np.int64)
-    place[sampled] = np.arange(len(sampled))
-    triple = _named(np.lexsort((c, b, a)), a, b, c)
-    # recursion: the names, NAME bytes apart, are the letters; two of them reach far enough
+
+    def name(mask: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+        place[mask] = np.arange(np.count_nonzero(mask))
+        return _named(*keys)
+
+    letters = name(words, np.ascontiguousarray(word[np.flatnonzero(words)]).view(">u8").ravel().astype(U))
+    sampled = np.flatnonzero(deep)
+    last = letters[place[np.flatnonzero(need) + 48]]
+    triples = name(deep, *(letters[place[sampled + 8 * k]] for k in range(3)))
+    # recursion: names 24 bytes apart are the letters of a string of their own
     sampled = np.flatnonzero(need)
-    key = (triple[place[sampled]] << U(32)) | triple[place[sampled + NAME]]
-    place[sampled] = np.arange(len(sampled))
-    name = _named(np.argsort(key, kind="stable"), key)
-    # merge: whichever residues two windows have, one of these keys holds for both
-    rest, b8 = at % 3, buf.astype(U)
-    low = owner.copy()
-    for residue, key_of in (
-        (2, lambda i: (b8[i] << U(48)) | (name[place[i + 1]] << U(8)) | b8[i + 49]),
-        (1, lambda i: (b8[i] << U(48)) | (b8[i + 1] << U(40)) | name[place[i + 2]]),
-        (0, lambda i: (name[place[i]] << U(16)) | (b8[i + 48] << U(8)) | b8[i + 49]),
-    ):
-        idx = np.flatnonzero(rest != residue)
-        if not len(idx):
-            continue
-        key = key_of(at[idx])
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        least = np.repeat(np.minimum.reduceat(owner[idx][order], first), np.diff(np.append(first, len(key))))
-        low[idx[order]] = np.minimum(low[idx[order]], least)
+    names = name(need, triples[place[sampled]], triples[place[sampled + NAME]], last)
+    # the others are sorted by a byte and a name, and merged: those before one are counted in each half of the sample
+    b8, rest = buf.astype(U), at % 3
+    two = at[rest > 0]
+    two = two[np.argsort(names[place[two]], kind="stable")]
+    one = at[rest == 0]
+
+    def keys(i: np.ndarray, shift: int) -> np.ndarray:
+        return (b8[i] << U(32)) | names[place[i + 1]] if shift == 1 else (b8[i] << U(40)) | (b8[i + 1] << U(32)) | names[place[i + 2]]
+
+    one = one[np.argsort(keys(one, 1), kind="stable")]
+    before = np.zeros(len(one), np.int64)
+    for shift in (1, 2):
+        before += np.searchsorted(np.sort(keys(at[rest == shift], shift)), keys(one, shift))
+    spot = np.maximum.accumulate(before) + np.arange(len(one))  # alike in 57 bytes: any order will do
+    out, free = np.zeros(len(at), np.int64), np.ones(len(at), bool)
+    out[spot], free[spot] = one, False
+    out[free] = two
+    return out
+
+
+def smallest(data: bytes, n: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Suffix-sort runs by 50 bytes; for each window of each run, the smallest document that has its string.
+
+    data: the runs one after another, of n windows and so n + 49 bytes each.
+    """
+    buf = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(DEEP, np.uint8)])
+    begin = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
+    at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())  # where each window starts
+    order = suffix_order(buf, at)
+    number = np.zeros(len(buf), np.int64)
+    number[at] = np.arange(len(at))
+    # neighbours in the order: do their first 50 bytes agree?
+    word = np.lib.stride_tricks.as_strided(buf, (len(buf) - 7, 8), (1, 1))
+    same = np.arange(1, len(order))
+    for k in (42, 0, 8, 16, 24, 32, 40):
+        x, y = (np.ascontiguousarray(word[order[same - j] + k]).view(U).ravel() for j in (0, 1))
+        same = same[x == y]
+    new = np.ones(len(order), bool)
+    new[same] = False
+    first = np.flatnonzero(new)
+    owner = np.repeat(doc, n)
+    low = np.zeros(len(at), np.int64)
+    low[number[order]] = np.repeat(np.minimum.reduceat(owner[number[order]], first), np.diff(np.append(first, len(order))))
     return low
 
 
+@tidy_group
 def resolve(table: pa.Table) -> pa.Table:
     """For each representative of a part, the windows whose strings also start in a smaller document, as bits."""
     rows = table.to_pylist()
@@ -326,6 +384,7 @@ def resolve(table: pa.Table) -> pa.Table:
 def _cut(with_text: bool):
     """Remove the matched bytes of each segment."""
 
+    @tidy_group
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         codes, bits = _codes(right), {}
         for r in right.to_pylist():
@@ -373,8 +432,8 @@ def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     spark, digest = docs.sparkSession, ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in digest])
     scratch, width = Scratch(spark, "suffix"), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = 4 * width
     seg = scratch.write_bucketed(segments(docs), "segments", "grp", width)
+    parts = max(width, -(-seg.count() * SEGMENT // PART))
     offers = seg.select("grp", "seg", "ids", "sizes", "data").mapInArrow(offer(parts), "part long, grp long, seg long, n long, base long, blob binary")
     codes = scratch.write(offers.groupBy("part").applyInArrow(represent, "grp long, seg long, part long, codes binary"), "codes")
     kind = "part long, grp long, seg long, entry array<long>, doc array<long>, n array<long>, fine array<long>, data binary"
@@ -391,7 +450,8 @@ def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """The columns of docs, with the repeated bytes removed from text; n_chars, if there, counts what is left."""
-    out = dedup(docs)
+    """The columns of docs, whatever their names, with the repeated bytes removed from text; n_chars, if there, counts what is left."""
+    names = [c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)]
+    out = dedup(docs.toDF(*names))
     n_chars = F.length("text").cast("long")
-    return out.select(*[n_chars.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns if c in out.columns])
+    return out.select(*[(n_chars if c == "n_chars" else F.col(n)).alias(c) for c, n in zip(docs.columns, names, strict=True)])
