@@ -77,13 +77,15 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def shingles(texts: list[bytes], k: int) -> list[np.ndarray]:
     """Sorted distinct hashes of k words in a row, for each text. A text of 1 to k - 1 words has one, of all its words."""
     h, at = word_hashes(texts)
-    s = np.zeros(max(0, len(h) - k + 1), U)
+    n = max(0, len(h) - k + 1)
+    s = np.zeros(n, U)
     for j in range(k):
-        s += h[j : len(h) - k + 1 + j] * U(pow(BASE, 2 * j + 3, 1 << 64))
+        s += h[j : j + n] * U(pow(BASE, 2 * j + 3, 1 << 64))
     s, out = mix(s), []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         if b - a >= k:
-            out.append(np.unique(s[a : b - k + 1]))
+            x = np.sort(s[a : b - k + 1])
+            out.append(x[np.append(True, x[1:] != x[:-1])])
         elif b > a:
             w = np.array([b - a], U)
             for i in range(a, b):
