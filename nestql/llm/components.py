@@ -13,7 +13,8 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
     Alternating star contraction: each round links every node to the smallest node in sight, from above (large star)
     and from below (small star), until nothing changes; the number of rounds grows with the logarithm of the size.
-    A node's neighbours are only ever reduced to their minimum, with partial aggregation, so hub nodes do no harm.
+    A node's neighbours are reduced to their minimum with partial aggregation, but the links of a hub meet its minimum in one task
+    unless AQE splits the join; a link is two numbers, whatever the documents' size.
     """
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = scratch.write(edges, f"{name}-0")

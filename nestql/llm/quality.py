@@ -8,7 +8,7 @@ neighbouring labels. It is trained by maximum likelihood, with the forward-backw
 with a quality label that aren't held out: their lines carry the label of the document, since no lines are labelled.
 
 Cases: a null text counts as empty: no words, so it fails. Lines without a word are no lines for the field. Without
-labels, or with one kind of label only, each line is content. Repeated rows are judged one by one, extra columns are
+labels, or with one kind of label only on texts that have words, each line is content. Repeated rows are judged one by one, extra columns are
 ignored, an empty table gives no rows. Long texts are read whole.
 """
 
@@ -98,6 +98,8 @@ class Field:
             return cls()
         chains = [(lines(t.encode("utf-8", "surrogatepass"))[0], 0 if q else 1) for t, q in rows]
         chains = sorted((c for c in chains if c[0]), key=lambda c: -len(c[0]))
+        if len({y for _, y in chains}) < 2:  # the texts of a label are all blank
+            return cls()
         size = np.array([len(c) for c, _ in chains])
         label = np.array([y for _, y in chains])
         x = np.zeros((size.sum(), FEATURES))

@@ -39,7 +39,7 @@ def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_multiple_instance_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted", "offending")
 
 
 def op7_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Shared scratch space: written tables cut lineage, so a lost executor never forces an operator to start over.
 
-Everything lives under ``spark.checkpoint.dir``, which the cluster shares. Only where that is unset (tests, a single
-machine) a folder of our own is made and set.
+Everything lives under ``spark.checkpoint.dir``, which the cluster shares. Where that is unset a folder of our own is made and
+set, if Spark runs on a single machine; on a cluster it is an error.
 """
 
 from __future__ import annotations
@@ -19,6 +19,9 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master or ""
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="nestql-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")

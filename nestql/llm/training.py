@@ -19,7 +19,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> list[tu
     chosen = labels.select("doc_id", F.col(label).alias("_label")).filter(F.col("_label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     chosen = chosen.orderBy(F.xxhash64(F.col("doc_id").cast("long"), F.lit(11)), "doc_id").limit(rows)
     texts = docs.select("doc_id", "text").filter("text is not null")
-    got = texts.join(chosen, "doc_id").orderBy(F.xxhash64(F.col("doc_id").cast("long"), F.lit(11)), "doc_id", "text").limit(2 * rows)
+    got = texts.join(chosen, "doc_id").orderBy(F.xxhash64(F.col("doc_id").cast("long"), F.lit(11)), "doc_id", "text").limit(rows)
     return [(r["text"], r["_label"]) for r in got.select("text", "_label").collect()]
 
 
