@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .engine import Engine
 from .functions import cursors
-from .sources.schema import IGNORED, Arg, Col, Deps, Edge, Entity, Expr, Junction, Polymorphic, ScalarTable, Schema, schema, tagged
+from .sources.schema import IGNORED, Arg, Col, Deps, Edge, Entity, Expr, Junction, Plain, Polymorphic, ScalarTable, Schema, schema, tagged
 
 DATE = "yyyy-MM-dd"
 
@@ -58,8 +58,8 @@ def star(spark: SparkSession, sf_dir: str) -> Schema:
             "orderKeys": Expr("(SELECT to_json(sort_array(collect_list(nestql_orders.o_orderkey))) FROM nestql_orders WHERE nestql_orders.o_custkey = {t}.c_custkey)"),
             "nation": Edge("Nation", many=False, on=("c_nationkey", "n_nationkey")),
             "nationBatch": Edge("Nation", many=False, on=("c_nationkey", "n_nationkey"), strategy="batch"),
-            "orders": Edge("Order", on=orders, order_by="o_orderkey", where=status),
-            "ordersBatch": Edge("Order", on=orders, order_by="o_orderkey", where=status, strategy="batch"),
+            "orders": Edge("Order", on=orders, order_by="o_orderkey", where=status, args={"status": Arg(type="String")}),
+            "ordersBatch": Edge("Order", on=orders, order_by="o_orderkey", where=status, strategy="batch", args={"status": Arg(type="String")}),
             "dearest": Edge("Order", on=orders, order_by=by_price, limit=2),
             "byPrice": Edge("Order", on=orders, order_by=by_price),
             "orderPage": Edge("Order", on=orders, order_by=by_date, connection=True, paginate=True),
@@ -67,6 +67,10 @@ def star(spark: SparkSession, sf_dir: str) -> Schema:
             "orderSlice": Edge("Order", on=orders, order_by="o_orderkey", connection=True),
             "orderDefault": Edge("Order", on=orders, order_by="o_orderkey", connection=True, paginate=True, default_page_size=2, page_limit=100),
             "events": Edge("Event", on=("c_custkey", "user_id"), order_by="event_id", strategy="batch"),
+            "ordersAbove": Edge("Order", on=orders, order_by="o_orderkey", where="{t}.o_totalprice > 20 * {parent}.c_acctbal", where_uses_parent=True),
+            "orderPageBatch": Edge("Order", on=orders, order_by=by_date, connection=True, paginate=True, strategy="batch"),
+            "orderKeysetBatch": Edge("Order", on=orders, sort_key=by_date, connection=True, paginate=True, strategy="batch"),
+            "dearestBatch": Edge("Order", on=orders, order_by=by_price, limit=2, strategy="batch"),
             "richer": Edge("Customer", on=lambda p, c, args, ctx: (p["c_nationkey"] == c["c_nationkey"]) & (c["c_acctbal"] > p["c_acctbal"] + 5000), order_by="c_custkey"),
         },
         interfaces=("Named",),
@@ -74,6 +78,7 @@ def star(spark: SparkSession, sf_dir: str) -> Schema:
     order = Entity(
         "Order", path("orders"), ["o_orderkey"],
         {"id": Col("o_orderkey"), "status": Col("o_orderstatus"), "price": Col("o_totalprice"), "day": Deps(("o_orderdate",), lambda d: F.date_format(d, DATE)),
+         "wealthy": Edge("Customer", many=False, on=("o_custkey", "c_custkey"), where=lambda t, args, ctx, node: t["c_acctbal"] > 5000, strategy="batch", inner=True),
          "customer": Edge("Customer", many=False, on=("o_custkey", "c_custkey")),
          "lines": Edge("Line", on=("o_orderkey", "l_orderkey"), order_by=[("l_linenumber", "asc"), ("l_partkey", "asc"), ("l_suppkey", "asc")])},
     )
@@ -82,6 +87,7 @@ def star(spark: SparkSession, sf_dir: str) -> Schema:
         {"number": Col("l_linenumber"), "part": Col("l_partkey"), "supplier": Col("l_suppkey"), "quantity": Col("l_quantity")}, unique=False,
     )
     flags = Entity("Flag", path("lineitem"), ["l_returnflag", "l_linestatus"], {"flag": Col("l_returnflag"), "status": Col("l_linestatus")}, unique=False)
+    place = Entity("Place", f"(SELECT n_nationkey, named_struct('code', n_regionkey, 'label', n_name) AS at FROM parquet.`{path('nation')}`)", ["n_nationkey"], {"id": Col("n_nationkey"), "at": Plain()})
     event = Entity("Event", path("events"), ["event_id"], {"id": Col("event_id"), "kind": Col("event_type")})
     part = Entity(
         "Part", path("part"), ["p_partkey"],
@@ -91,6 +97,7 @@ def star(spark: SparkSession, sf_dir: str) -> Schema:
          "byQuantity": Edge("Supply", junction=supply(order_by=[("l_quantity", "desc"), ("l_orderkey", "asc"), ("l_linenumber", "asc")])),
          "topSuppliers": Edge("Supplier", junction=supplies, order_by=[("s_acctbal", "desc"), ("s_suppkey", "asc")], limit=2),
          "supplierPage": Edge("Supplier", junction=supplies, order_by=[("s_acctbal", "desc"), ("s_suppkey", "asc")], connection=True, paginate=True),
+         "supplierPageBatch": Edge("Supplier", junction=supplies, order_by=[("s_acctbal", "desc"), ("s_suppkey", "asc")], connection=True, paginate=True, strategy="batch"),
          "supplierKeyset": Edge("Supplier", junction=supplies, sort_key=[("s_suppkey", "desc")], connection=True, paginate=True)},
     )
     supplier = Entity(
@@ -109,7 +116,7 @@ def star(spark: SparkSession, sf_dir: str) -> Schema:
 
     party = Polymorphic(
         "Party", parties, ["$type", "id"],
-        {"Customer": {"segment": Col(), "orders": Edge("Order", on=("id", "o_custkey"), order_by="o_orderkey")}, "Supplier": {"balance": Col()}},
+        {"Customer": {"segment": Col(), "orders": Edge("Order", on=("id", "o_custkey"), order_by="o_orderkey"), "ordersBatch": Edge("Order", on=("id", "o_custkey"), order_by="o_orderkey", strategy="batch")}, "Supplier": {"balance": Col()}},
         fields={"id": Col(), "name": Col()}, unique=True, interfaces=("Named",),
     )
     speech = ScalarTable("Role", path("conversations"), ["conv_id", "turn"], "role")
@@ -117,10 +124,10 @@ def star(spark: SparkSession, sf_dir: str) -> Schema:
     spark.read.parquet(path("orders")).createOrReplaceTempView("nestql_orders")
     size = lambda t, args, ctx, node: None
     roots = {
-        "customers": Edge("Customer", where=segment, order_by="c_custkey"),
-        "customersById": Edge("Customer", where=ids("c_custkey"), order_by="c_custkey"),
-        "customer": Edge("Customer", many=False, where=lambda t, args, ctx, node: t["c_custkey"] == args["id"], args={"id": Arg(required=True)}),
-        "richest": Edge("Customer", order_by=[("c_acctbal", "desc"), ("c_custkey", "asc")], limit=lambda args, ctx: args.get("limit"), offset=lambda args, ctx: args.get("offset")),
+        "customers": Edge("Customer", where=segment, order_by="c_custkey", args={"segment": Arg(type="String")}),
+        "customersById": Edge("Customer", where=ids("c_custkey"), order_by="c_custkey", args={"ids": Arg(type=["Int"])}),
+        "customer": Edge("Customer", many=False, where=lambda t, args, ctx, node: t["c_custkey"] == args["id"], args={"id": Arg(required=True, type="Int")}),
+        "richest": Edge("Customer", order_by=[("c_acctbal", "desc"), ("c_custkey", "asc")], limit=lambda args, ctx: args.get("limit"), offset=lambda args, ctx: args.get("offset"), args={"limit": Arg(type="Int"), "offset": Arg(type="Int")}),
         "customerPage": Edge("Customer", order_by="c_custkey", connection=True, paginate=True, where=size, page_limit=1000),
         "customerKeyset": Edge("Customer", sort_key="c_custkey", connection=True, paginate=True),
         "orderKeyset": Edge("Order", sort_key=[("o_orderstatus", "asc"), ("o_orderdate", "desc"), ("o_orderkey", "asc")], connection=True, paginate=True),
@@ -129,12 +136,13 @@ def star(spark: SparkSession, sf_dir: str) -> Schema:
         "regions": Edge("Region", order_by="r_regionkey"),
         "parts": Edge("Part", order_by="p_partkey"),
         "suppliers": Edge("Supplier", order_by="s_suppkey"),
-        "parties": Edge("Party", where=lambda t, args, ctx, node: t["nation"] == args["nation"] if args.get("nation") is not None else None),
+        "parties": Edge("Party", where=lambda t, args, ctx, node: t["nation"] == args["nation"] if args.get("nation") is not None else None, args={"nation": Arg(type="Int")}),
         "talks": Edge("Talk", order_by="conv_id"),
         "flags": Edge("Flag"),
+        "places": Edge("Place", order_by="n_nationkey"),
         "mine": Edge("Customer", where=lambda t, args, ctx, node: t["c_mktsegment"] == ctx["segment"], order_by="c_custkey"),
     }
-    return schema([region, nation, customer, order, line, flags, event, part, supplier, supply_type, party, speech, talk], roots)
+    return schema([region, nation, customer, order, line, flags, place, event, part, supplier, supply_type, party, speech, talk], roots)
 
 
 Query = tuple[Callable[[SparkSession, str], DataFrame], str | None]
@@ -261,6 +269,20 @@ _DATED = "SELECT o_custkey AS id, o_orderkey AS node, o_orderdate AS d, row_numb
 _add("page_offset_nested", f'{{ customers {{ id orderPage(first: 2, after: "{cursors.make(0)}") {{ total pageInfo {{ hasNextPage }} edges {{ cursor node {{ id }} }} }} }} }}',
      f"SELECT id, n AS total, n > 3 AS pageInfo_hasNextPage, CAST(pos - 1 AS INTEGER) AS pos, {_OFFSET.format(0)} AS cursor, node FROM ({_DATED}) WHERE pos BETWEEN 1 AND 2", _edges("orderPage", "total", "pageInfo.hasNextPage"))
 _add("page_offset_many_many", "{ parts { id supplierPage(first: 2) { total edges { node { id } } } } }", f"SELECT id, n AS total, pos, s_suppkey AS node FROM ({_SUPPLIERS}) WHERE pos < 2", _edges("supplierPage", "total"))
+_add("page_offset_batch", f'{{ customers {{ id orderPageBatch(first: 2, after: "{cursors.make(0)}") {{ total pageInfo {{ hasNextPage }} edges {{ cursor node {{ id }} }} }} }} }}',
+     f"SELECT id, n AS total, n > 3 AS pageInfo_hasNextPage, CAST(pos - 1 AS INTEGER) AS pos, {_OFFSET.format(0)} AS cursor, node FROM ({_DATED}) WHERE pos BETWEEN 1 AND 2", _edges("orderPageBatch", "total", "pageInfo.hasNextPage"))
+_add("page_offset_many_many_batch", "{ parts { id supplierPageBatch(first: 2) { total edges { node { id } } } } }", f"SELECT id, n AS total, pos, s_suppkey AS node FROM ({_SUPPLIERS}) WHERE pos < 2", _edges("supplierPageBatch", "total"))
+_add("page_keyset_batch", "{ customers { id orderKeysetBatch(last: 2) { pageInfo { hasPreviousPage } edges { node { id } } } } }",
+     f"SELECT id, n > 2 AS pageInfo_hasPreviousPage, CAST(pos - greatest(n - 2, 0) AS INTEGER) AS pos, node FROM ({_DATED}) WHERE pos >= n - 2", _edges("orderKeysetBatch", "pageInfo.hasPreviousPage"))
+_add("limit_per_parent_batch", "{ customers { id dearestBatch { id } } }", f"SELECT * FROM (SELECT o_custkey AS id, CAST({_RANK} - 1 AS INTEGER) AS pos, o_orderkey AS dearestBatch_id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)) WHERE pos < 2", _each("dearestBatch pos"))
+_add("where_uses_parent", "{ customers { id ordersAbove { id } } }", "SELECT c_custkey AS id, o_orderkey AS ordersAbove_id FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 20 * c_acctbal", _each("ordersAbove outer"))
+_add("theta_under_junction", "{ parts { id suppliersBatch { id neighbours { id } } } }",
+     "SELECT m.id, m.supplier, c.s_suppkey AS neighbour FROM (SELECT DISTINCT p_partkey AS id, s_suppkey AS supplier, s_nationkey AS nation FROM part LEFT JOIN lineitem ON l_partkey = p_partkey LEFT JOIN supplier ON s_suppkey = l_suppkey) m LEFT JOIN supplier c ON c.s_nationkey = m.nation AND c.s_suppkey <> m.supplier",
+     lambda df: _each("suppliersBatch outer", "suppliersBatch_neighbours outer")(df).withColumnsRenamed({"suppliersBatch_id": "supplier", "suppliersBatch_neighbours_id": "neighbour"}))
+_add("batch_to_one_inner", "{ ordersAll { id wealthy { name } } }", "SELECT o_orderkey AS id, c_name AS wealthy_name FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal > 5000", _open("wealthy"))
+_add("union_typed_relation_batch", "{ parties(nation: 3) { __typename id ... on Customer { ordersBatch { id } } } }",
+     "SELECT 'Customer' AS __typename, c_custkey AS id, o_orderkey AS ordersBatch_id FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_nationkey = 3 UNION ALL SELECT 'Supplier', s_suppkey, NULL FROM supplier WHERE s_nationkey = 3", _each("ordersBatch outer"))
+_add("plain_object", "{ places { id at { label } } }", "SELECT n_nationkey AS id, n_name AS at_label FROM nation", _open("at"))
 _add("page_past_end", f'{{ customerPage(first: 3, after: "{cursors.make(10**9)}") {{ total pageInfo {{ hasNextPage startCursor }} edges {{ node {{ id }} }} }} }}', "SELECT CAST(0 AS BIGINT) AS total, false AS more, CAST(NULL AS VARCHAR) AS first, CAST(0 AS INTEGER) AS n",
      lambda df: df.select("total", F.col("pageInfo.hasNextPage").alias("more"), F.col("pageInfo.startCursor").alias("first"), F.size("edges").alias("n")))
 _add("page_keyset_root", f'{{ customerKeyset(first: 3, after: "{cursors.make({"c_custkey": 4})}") {{ pageInfo {{ hasNextPage }} edges {{ cursor node {{ id }} }} }} }}',

@@ -49,7 +49,7 @@ class Engine:
             raise QueryError("flat() takes one root field")
         df = Compiler(self.spark, ctx).flat(nodes[0])
         if minify or prefix:
-            space = Namespace(minify, prefix, longest=1 << 20)
+            space = Namespace(minify, prefix)
             df = df.toDF(*[space.name(c) for c in df.columns])
         return df
 

@@ -3,38 +3,31 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import count, product
+from string import ascii_lowercase
 
-_LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
 def short() -> Iterator[str]:
     """a, b, ... z, aa, ab, ..."""
-    size = 1
-    while True:
-        for n in range(len(_LETTERS) ** size):
-            name = ""
-            for _ in range(size):
-                n, k = divmod(n, len(_LETTERS))
-                name = _LETTERS[k] + name
-            yield name
-        size += 1
+    for size in count(1):
+        yield from map("".join, product(ascii_lowercase, repeat=size))
 
 
 class Namespace:
-    """Names for tables: readable or short, always unique."""
+    """Names for columns: readable or short, always unique. A name that is taken gets the next free number."""
 
-    def __init__(self, minify: bool = False, prefix: str = "", longest: int = 10):
-        self.minify, self.prefix, self.longest = minify, prefix, longest
-        self.used: set[str] = set()
-        self.letters = short()
+    def __init__(self, minify: bool = False, prefix: str = ""):
+        self.prefix, self.fresh = prefix, short() if minify else None
+        self.taken: Counter[str] = Counter()
 
     def name(self, wish: str) -> str:
-        if self.minify:
-            out = self.prefix + next(self.letters)
-        else:
-            out = self.prefix + re.sub(r"\W", "_", wish)[: self.longest]
-        while out in self.used:
-            out += "$"
-        self.used.add(out)
-        return out
+        stem = next(self.fresh) if self.fresh else re.sub(r"\W", "_", wish)
+        found = stem
+        while self.taken[found]:
+            self.taken[stem] += 1
+            found = f"{stem}_{self.taken[stem]}"
+        self.taken[found] = 1
+        return self.prefix + found

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import SchemaError
+from ..errors import QueryError, SchemaError
 from ..functions import cursors, order
 from ..plans.planner import Output, PlanNode
 from ..sources.schema import Col, Constant, Deps, Expr, Polymorphic, ScalarTable, Table, load
@@ -26,12 +26,14 @@ DEEP = 10_000
 class Compiler:
     def __init__(self, spark: SparkSession, ctx: Any):
         self.spark, self.ctx = spark, ctx
+        self.kinds: dict[str, T.DataType] = {}
 
     # tables ------------------------------------------------------------------------------------------------------
 
     def scan(self, table: Any, alias: str, args: dict) -> tuple[DataFrame, Table]:
         df = load(self.spark, table, args, self.ctx)
         t = Table(alias, df.columns)
+        self.kinds |= {t.name(f.name): f.dataType for f in df.schema.fields}
         return df.select(*[F.col(f"`{c}`").alias(f"{alias}__{c}") for c in df.columns]), t
 
     def key(self, node: PlanNode) -> Column:
@@ -81,6 +83,9 @@ class Compiler:
                 v = node.t[node.type.tag] if isinstance(node.type, Polymorphic) else F.lit(node.type.name)
             elif o.kind == "child":
                 v = F.col(f"`{self.child_name(node, o)}`")
+            elif o.kind == "plain":
+                column = o.what.column or o.name
+                v = self.pick(node.t[column], o.args, self.kinds[node.t.name(column)])
             else:
                 v = self.leaf(node, o)
             if o.on is not None:
@@ -90,6 +95,16 @@ class Compiler:
             out[o.key] = v
         return [v.alias(k) for k, v in out.items()]
 
+    def pick(self, c: Column, wanted: dict, kind: T.DataType) -> Column:
+        """The fields of a struct, or of each struct of an array, that are wanted."""
+        if not wanted:
+            return c
+        if isinstance(kind, T.ArrayType):
+            return F.transform(c, lambda x: self.pick(x, wanted, kind.elementType))
+        if not isinstance(kind, T.StructType) or any(n not in kind.names for n, _ in wanted.values()):
+            raise QueryError(f"no fields {', '.join(n for n, _ in wanted.values())} in {kind.simpleString()}")
+        return F.when(c.isNotNull(), F.struct(*[self.pick(c[n], sub, kind[n].dataType).alias(k) for k, (n, sub) in wanted.items()]))
+
     def value(self, node: PlanNode) -> Column:
         if isinstance(node.type, ScalarTable):
             return node.t[node.type.column]
@@ -275,17 +290,20 @@ class Compiler:
             link = [c.alias(f"_l{i}") for i, c in enumerate(links)]
             match = [parent.t[a] == F.col(f"_l{i}") for i, (a, _) in enumerate(self.listed(on))]
         else:
-            own = df.columns
-            rows = left.select(*[c for c in own if not c.startswith(f"{parent.alias}___")]).join(rows, self.pairs(on, parent.t, near, node))
+            held = left.select(*[c for c in df.columns if c.startswith(f"{parent.alias}__") and not c.startswith(f"{parent.alias}___")])
+            if parent.j is not None or not parent.type.unique:  # the parent is there once for each of its links
+                held = held.dropDuplicates([parent.t.name(k) for k in parent.type.key])
+            rows = held.join(rows, self.pairs(on, parent.t, near, node))
             link = [self.key(parent).alias("_l0")]
             match = [self.key(parent) == F.col("_l0")]
         where = self.condition(edge.where, node.t, node, **({"j": node.j} if node.j else {}), **({"parent": parent.t} if not by_key else {}))
         drops = free and (where is not None or strict)
         total_rows = None
-        if where is not None and not drops:
-            rows = rows.filter(where)
-        elif where is not None:
-            total_rows = rows.select(*link).distinct().withColumn("_any", F.lit(True)) if by_key and self.passes_null(where, node) else None
+        if where is not None:
+            if drops and (not by_key or self.passes_null(where, node)):
+                # as an outer join would have it, a parent without any partner stays if the filter holds for nulls
+                total_rows = rows.select(*link).distinct().withColumn("_any", F.lit(True))
+                df = self.lax(df, where, node) if not by_key else df.withColumn("_lax", F.lit(True))
             rows = rows.filter(where)
         kinds = {f.name: f.dataType for f in rows.schema.fields}
         if not edge.many:
@@ -301,8 +319,8 @@ class Compiler:
         out = df.join(agg, cond, "inner" if inner else "left")
         if total_rows is not None:  # parents without any partner pass if the filter holds for nulls
             marks = total_rows.select(*[F.col(f"_l{i}").alias(f"_m{i}") for i in range(n)], "_any")
-            again = [parent.t[a] == F.col(f"_m{i}") for i, (a, _) in enumerate(self.listed(on))]
-            out = out.join(marks, again, "left").filter(F.col("_l0").isNotNull() | F.col("_any").isNull()).drop("_any", *[f"_m{i}" for i in range(n)])
+            again = [parent.t[a] == F.col(f"_m{i}") for i, (a, _) in enumerate(self.listed(on))] if by_key else [self.key(parent) == F.col("_m0")]
+            out = out.join(marks, again, "left").filter(F.col("_l0").isNotNull() | (F.col("_any").isNull() & F.col("_lax"))).drop("_any", "_lax", *[f"_m{i}" for i in range(n)])
         if edge.many and not edge.connection:
             found = F.coalesce(F.col("_v"), F.array())
         elif edge.connection:
@@ -318,13 +336,16 @@ class Compiler:
 
     def passes_null(self, where: Column, node: PlanNode) -> bool:
         """Whether a filter holds for a row of nulls, as an outer join would make it."""
-        one = self.spark.range(1)
-        tables = [node.t] + ([node.j] if node.j else [])
-        for t in tables:
+        one = self.lax(self.spark.sql("VALUES (1)"), where, node)  # a local relation: the optimizer folds it, no job runs
+        return bool(one.first()["_lax"])
+
+    def lax(self, df: DataFrame, where: Column, node: PlanNode) -> DataFrame:
+        """df with _lax: whether a filter of the child holds where the child's columns are null."""
+        own = df.columns
+        for t in [node.t] + ([node.j] if node.j else []):
             source = load(self.spark, node.type.table if t is node.t else node.edge.junction.table, node.args, self.ctx)
-            one = one.select("*", *[F.lit(None).cast(f.dataType).alias(t.name(f.name)) for f in source.schema.fields])
-        # constant folding answers this; no table is read
-        return bool(one.select(F.coalesce(where, F.lit(False)).alias("p")).first()["p"])
+            df = df.select("*", *[F.lit(None).cast(f.dataType).alias(t.name(f.name)) for f in source.schema.fields])
+        return df.select(*[F.col(f"`{c}`") for c in own], F.coalesce(where, F.lit(False)).alias("_lax"))
 
     def single(self, rows: DataFrame, node: PlanNode, link: list[Column]) -> DataFrame:
         """A row for each link: the first object by key, without a grouping if the link is the key."""

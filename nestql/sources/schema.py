@@ -102,6 +102,13 @@ class Constant:
     value: Callable[[Mapping, Any], Any]
 
 
+@dataclass(frozen=True)
+class Plain:
+    """A column whose objects are there already, in structs or arrays of structs: its selection picks their fields."""
+
+    column: str | None = None
+
+
 class _Ignored:
     """A field that is left out of the plan and of the result."""
 
@@ -111,9 +118,12 @@ IGNORED = _Ignored()
 
 @dataclass(frozen=True)
 class Arg:
+    """type: Int, Float, String, Boolean or ID, [x] for a list of them; other names, and none, take any value."""
+
     default: Any = None
     enum: Mapping[str, Any] | None = None
     required: bool = False
+    type: Any = None
 
 
 @dataclass(frozen=True)

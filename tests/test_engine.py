@@ -3,150 +3,196 @@ import pytest
 from nestql.engine import Engine, from_global_id, global_id
 from nestql.errors import QueryError, SchemaError
 from nestql.functions import cursors
-from tests.social import network
+from tests.workshop import GRANTS, LABELS, MAKERS, NOTES, PRAISES, PROJECTS, WATCHES, workshop
+
+M = {m[0]: m for m in MAKERS}
+NAME = {i: f"{m[2]} {m[3]}" for i, m in M.items()}
 
 
 @pytest.fixture(scope="module", params=["join", "batch"])
 def engine(spark, request):
-    return Engine(spark, network(spark, request.param))
+    return Engine(spark, workshop(spark, request.param))
 
 
 @pytest.fixture(scope="module")
 def joined(spark):
-    return Engine(spark, network(spark))
+    return Engine(spark, workshop(spark))
 
 
 def ids(rows):
     return [r["id"] for r in rows]
 
 
-def test_one_to_many(engine):
-    got = engine.data("{ users { id comments { id } } }")["users"]
-    assert {u["id"]: ids(u["comments"]) for u in got} == {1: [1, 4, 6, 8], 2: [7], 3: [2, 3, 5, 9]}
+def notes_of(maker, shown=False):
+    return [n[0] for n in NOTES if n[2] == maker and not (shown and n[3])]
+
+
+def in_project(project):
+    return sorted((n[0] for n in NOTES if n[1] == project), reverse=True)
+
+
+def words(project):
+    return [x[2] for x in sorted(LABELS, key=lambda x: x[3]) if x[1] == project]
+
+
+def watched(maker):
+    return sorted((w[1], w[2]) for w in WATCHES if w[0] == maker)
+
 
+def own(maker):
+    return sorted((p[0] for p in PROJECTS if p[1] == maker), reverse=True)
 
-def test_many_to_many(engine):
-    got = engine.data("{ users { following { fullName } } }")["users"]
-    assert [[x["fullName"] for x in u["following"]] for u in got] == [["mia evans"], [], ["ann clark", "mia evans"]]
 
+def test_lists_of_children(engine):
+    got = engine.data("{ makers { id notes { id } } }")["makers"]
+    assert [(m["id"], ids(m["notes"])) for m in got] == [(i, notes_of(i)) for i in M]
 
-def test_junction_data_and_filter(engine):
-    got = engine.data("{ user(id: 3) { following { id friendship intimacy closeness } best: following(intimacy: best) { fullName } } }")["user"]
-    assert [tuple(x.values()) for x in got["following"]] == [(1, "acquaintance", "acquaintance", "ACQUAINTANCE"), (2, "best", "best", "BEST")]
-    assert got["best"] == [{"fullName": "mia evans"}]
 
+def test_lists_through_a_junction(engine):
+    got = engine.data("{ makers { watching { name } } }")["makers"]
+    assert [[x["name"] for x in m["watching"]] for m in got] == [[NAME[w] for w, _ in watched(i)] for i in M]
 
-def test_junction_order(engine):
-    got = engine.data("{ user(id: 3) { a: following { id } b: following(newestFirst: true) { id } } }")["user"]
-    assert (ids(got["a"]), ids(got["b"])) == ([1, 2], [2, 1])
 
+def test_values_of_the_junction(engine):
+    for i in M:
+        got = engine.data(f"{{ maker(id: {i}) {{ id watching {{ id level same big }} }} }}")["maker"]
+        assert [tuple(x.values()) for x in got["watching"]] == [(w, v, v, v.upper()) for w, v in watched(i)]
 
-def test_nested_order_and_cycles(engine):
-    got = engine.data("{ user(id: 1) { posts { comments(asc: true) { id } } comments { id post { comments { id } } } } }")["user"]
-    assert ids(got["posts"][0]["comments"]) == [4, 5, 6, 7, 8]
-    assert [(c["id"], ids(c["post"]["comments"])) for c in got["comments"]] == [(1, [3, 2, 1])] + [(i, [8, 7, 6, 5, 4]) for i in (4, 6, 8)]
 
+def test_filter_and_order_of_the_junction(spark):
+    batch = Engine(spark, workshop(spark, "batch")).data("{ makers { near: watching(level: NEAR) { id } back: watching(backwards: true) { id } } }")["makers"]
+    assert [(ids(m["near"]), ids(m["back"])) for m in batch] == [([w for w, v in watched(i) if v == "near"], [w for w, _ in watched(i)][::-1]) for i in M]
 
-def test_correlated_count_and_fields(engine):
-    got = engine.data("{ user(id: 2) { __typename email loud favNums posts { id numComments } } }")["user"]
-    assert got == {"__typename": "User", "email": "mia@example.org", "loud": "EVANS", "favNums": [1, 2, 3], "posts": [{"id": 3, "numComments": 1}, {"id": 1, "numComments": 3}]}
 
+def test_circles_and_nested_orders(engine):
+    got = engine.data("{ makers { projects { notes { id } } notes(backwards: true) { id project { notes { id } } } } }")["makers"]
+    where = {n[0]: n[1] for n in NOTES}
+    for m, i in zip(got, M, strict=True):
+        assert [ids(p["notes"]) for p in m["projects"]] == [in_project(p) for p in own(i)]
+        assert [(n["id"], ids(n["project"]["notes"])) for n in m["notes"]] == [(n, in_project(where[n])) for n in notes_of(i)[::-1]]
+
+
+def test_computed_fields(engine):
+    got = engine.data("{ makers { __typename contact shout three projects { id noteCount } } }")["makers"]
+    assert got == [{"__typename": "Maker", "contact": m[1], "shout": m[3].upper(), "three": [3, 1, 2], "projects": [{"id": p, "noteCount": len(in_project(p))} for p in own(m[0])]} for m in MAKERS]
+
+
+def test_a_filter_below_decides_about_parents_in_one_query_only(spark):
+    join, batch = (Engine(spark, workshop(spark, s)).data("{ makers { id notes(shown: true) { id } } }")["makers"] for s in ("join", "batch"))
+    assert [(m["id"], ids(m["notes"])) for m in batch] == [(i, notes_of(i, True)) for i in M]
+    assert [(m["id"], ids(m["notes"])) for m in join] == [(i, notes_of(i, True)) for i in M if notes_of(i, True)]
+
+
+def test_condition_without_equality_below_a_junction(joined, spark):
+    from nestql.sources.schema import Col, Edge, Entity, Junction, schema
 
-def test_filter_of_a_child_and_its_parents(spark):
-    text = "{ users { id comments(active: true) { id } } }"
-    join, batch = (Engine(spark, network(spark, s)).data(text)["users"] for s in ("join", "batch"))
-    assert {u["id"]: ids(u["comments"]) for u in batch} == {1: [1, 4, 6, 8], 2: [], 3: [3, 5, 9]}
-    assert {u["id"]: ids(u["comments"]) for u in join} == {1: [1, 4, 6, 8], 3: [3, 5, 9]}  # as one outer WHERE would do
+    links, values = [(1, 3), (2, 3), (1, 2)], {1: 1, 2: 2, 3: 3}
+    rows = spark.createDataFrame(list(values.items()), "id int, v int")
+    down = Edge("A", on=lambda p, c, args, ctx: c["v"] < p["v"], order_by="id")
+    lax = Edge("A", on=lambda p, c, args, ctx: c["v"] < p["v"], order_by="id", where=lambda t, args, ctx, node: t["v"].isNull() | (t["v"] > 1))
+    a = Entity("A", rows, ["id"], {"id": Col(), "friends": Edge("A", junction=Junction(spark.createDataFrame(links, "a int, b int"), parent=("id", "a"), child=("b", "id")), order_by="id"), "below": down, "lax": lax})
+    e = Engine(spark, schema([a], {"all": Edge("A", order_by="id")}))
+    got = e.data("{ all { id friends { id below { id } } } }")["all"]
+    assert {x["id"]: {f["id"]: ids(f["below"]) for f in x["friends"]} for x in got} == {1: {2: [1], 3: [1, 2]}, 2: {3: [1, 2]}, 3: {}}
+    # 1 has no partner and the filter holds for nulls; 2 has partners, none of which passes
+    assert [(x["id"], ids(x["lax"])) for x in e.data("{ all { id lax { id } } }")["all"]] == [(1, []), (3, [2])]
+    got = joined.data("{ notes { id earlier { id } } }")["notes"]
+    assert [(n["id"], ids(n["earlier"])) for n in got] == [(n[0], [x for x in notes_of(n[2]) if x < n[0]]) for n in NOTES]
 
 
-def test_missing_parent_object(joined):
-    assert joined.data("{ post(id: 4) { id author { id } } }")["post"] == {"id": 4, "author": None}
-    assert joined.data("{ user(id: 999) { id } }")["user"] is None
+def test_what_is_missing(joined):
+    lost = next(p[0] for p in PROJECTS if p[1] == 99)
+    assert joined.data(f"{{ project(id: {lost}) {{ id owner {{ id }} }} }}")["project"] == {"id": lost, "owner": None}
+    assert joined.data("{ maker(id: 12345) { id } }")["maker"] is None
 
 
-def test_scalar_table_and_limit(joined):
-    assert joined.data("{ post(id: 1) { tags firstTags } }")["post"] == {"tags": ["foo", "bar", "baz"], "firstTags": ["foo", "bar"]}
-    assert joined.data("{ post(id: 3) { tags } }")["post"] == {"tags": []}
+def test_scalar_tables_and_limits(joined):
+    for p in PROJECTS:
+        assert joined.data(f"{{ project(id: {p[0]}) {{ labels firstLabels }} }}")["project"] == {"labels": words(p[0]), "firstLabels": words(p[0])[:2]}
 
 
 def test_composite_key(joined):
-    assert len(joined.data("{ sponsors { generation lastName } }")["sponsors"]) == 5
+    assert len(joined.data("{ grants { round purpose } }")["grants"]) == len(set(GRANTS))
 
 
-def test_polymorphic(joined):
-    got = joined.data("{ user(id: 1) { writtenMaterial { __typename id ... on Comment { postId likers { id } } ... on Post { tags } } } }")["user"]["writtenMaterial"]
-    assert [(x["id"], x["__typename"]) for x in got] == [(1, "Comment"), (2, "Post"), (4, "Comment"), (6, "Comment"), (8, "Comment")]
-    assert got[0] == {"__typename": "Comment", "id": 1, "postId": 1, "likers": [{"id": 2}], "tags": None}
-    assert got[1]["tags"] == ["foo"] and got[1]["likers"] is None
+def test_several_types_in_one_list(joined):
+    got = joined.data("{ makers { works { __typename id ... on Note { within praisedBy { id } } ... on Project { labels } } } }")["makers"]
+    for m, i in zip(got, M, strict=True):
+        want = [{"__typename": "Project", "id": p[0], "within": None, "praisedBy": None, "labels": words(p[0])} for p in PROJECTS if p[1] == i]
+        want += [{"__typename": "Note", "id": n[0], "within": n[1], "praisedBy": [{"id": a} for a, b in PRAISES if b == n[0]], "labels": None} for n in NOTES if n[2] == i]
+        assert m["works"] == sorted(want, key=lambda w: w["id"])
 
 
 def test_limit_offset(joined):
-    assert ids(joined.data("{ users(limit: 1, offset: 1) { id } }")["users"]) == [2]
-    assert ids(joined.data("{ users(offset: 2) { id } }")["users"]) == [3]
+    assert ids(joined.data("{ makers(limit: 2, offset: 1) { id } }")["makers"]) == list(M)[1:3]
+    assert ids(joined.data("{ makers(offset: 4) { id } }")["makers"]) == list(M)[4:]
 
 
 def test_offset_page(joined):
-    text = '{ usersPage(first: 2, after: "%s") { total pageInfo { hasNextPage startCursor endCursor } edges { cursor node { id } } } }'
-    got = joined.data(text % cursors.make(0))["usersPage"]
-    assert got["total"] == 3 and got["pageInfo"] == {"hasNextPage": False, "startCursor": cursors.make(1), "endCursor": cursors.make(2)}
-    past = joined.data(text % cursors.make(50))["usersPage"]
+    text = '{ pages(first: 3, after: "%s") { total pageInfo { hasNextPage startCursor endCursor } edges { cursor node { id } } } }'
+    got = joined.data(text % cursors.make(3))["pages"]
+    assert got["total"] == len(M) and got["pageInfo"] == {"hasNextPage": False, "startCursor": cursors.make(4), "endCursor": cursors.make(6)}
+    assert [(e["cursor"], e["node"]["id"]) for e in got["edges"]] == [(cursors.make(k), list(M)[k]) for k in (4, 5, 6)]
+    past = joined.data(text % cursors.make(50))["pages"]
     assert past == {"total": 0, "pageInfo": {"hasNextPage": False, "startCursor": None, "endCursor": None}, "edges": []}
 
 
 def test_keyset_pages_make_the_list(joined):
+    whole = sorted(sorted(M), key=lambda i: M[i][3], reverse=True)
     seen, after = [], ""
     while True:
-        got = joined.data(f"{{ usersKeyset(first: 2{after}) {{ pageInfo {{ hasNextPage endCursor }} edges {{ node {{ id }} }} }} }}")["usersKeyset"]
+        got = joined.data(f"{{ keyset(first: 3{after}) {{ pageInfo {{ hasNextPage endCursor }} edges {{ node {{ id }} }} }} }}")["keyset"]
         seen += [e["node"]["id"] for e in got["edges"]]
         if not got["pageInfo"]["hasNextPage"]:
             break
         after = f', after: "{got["pageInfo"]["endCursor"]}"'
-    assert seen == [2, 1, 3]
-    back = joined.data("{ usersKeyset(last: 2) { pageInfo { hasPreviousPage } edges { node { id } } } }")["usersKeyset"]
-    assert back["pageInfo"]["hasPreviousPage"] and [e["node"]["id"] for e in back["edges"]] == [1, 3]
+    assert seen == whole
+    back = joined.data("{ keyset(last: 2) { pageInfo { hasPreviousPage } edges { node { id } } } }")["keyset"]
+    assert back["pageInfo"]["hasPreviousPage"] and [e["node"]["id"] for e in back["edges"]] == whole[-2:]
 
 
 def test_variables_fragments_directives(joined):
-    text = "query q($id: Int!, $no: Boolean = true) { user(id: $id) { ...F ... on Person { fullName } ... on Sponsor { nothing } id @skip(if: $no) } } fragment F on User { email }"
-    assert joined.data(text, {"id": 2})["user"] == {"email": "mia@example.org", "fullName": "mia evans"}
+    text = "query q($id: Int!, $no: Boolean = true) { maker(id: $id) { ...F ... on Named { name } ... on Grant { nothing } id @skip(if: $no) } } fragment F on Maker { contact }"
+    assert joined.data(text, {"id": 2})["maker"] == {"contact": M[2][1], "name": NAME[2]}
     with pytest.raises(QueryError):
         joined.data(text)
 
 
-def test_duplicate_fields_merge(joined):
-    got = joined.data("{ user(id: 2) { posts { id } posts { numComments } } user(id: 2) { id } }")["user"]
-    assert got == {"posts": [{"id": 3, "numComments": 1}, {"id": 1, "numComments": 3}], "id": 2}
+def test_fields_asked_for_twice(joined):
+    got = joined.data("{ maker(id: 1) { projects { id } projects { noteCount } } maker(id: 1) { id } }")["maker"]
+    assert got == {"projects": [{"id": p, "noteCount": len(in_project(p))} for p in own(1)], "id": 1}
     with pytest.raises(QueryError):
-        joined.data("{ user(id: 3) { comments(active: true) { id } comments { id } } }")
+        joined.data("{ maker(id: 3) { notes(shown: true) { id } notes { id } } }")
 
 
 def test_node(joined):
-    df = joined.node("User", 2, "{ id posts { id } }")
-    assert [r.asDict(recursive=True) for r in df.collect()] == [{"id": 2, "posts": [{"id": 3}, {"id": 1}], "__type__": "User"}]
-    assert joined.node("Sponsor", [1, "mia", "daemon"], "{ lastName }").count() == 1
-    assert joined.node("User", lambda t, args, ctx: t["first_name"] == "foo", "{ id }").first()["id"] == 3
-    assert joined.node("User", 999, "{ id }").count() == 0
-    assert from_global_id(global_id("User", 5)) == ("User", "5")
+    df = joined.node("Maker", 2, "{ id projects { id } }")
+    assert [r.asDict(recursive=True) for r in df.collect()] == [{"id": 2, "projects": [{"id": p} for p in own(2)], "__type__": "Maker"}]
+    assert joined.node("Grant", list(GRANTS[0]), "{ purpose }").count() == 1
+    assert joined.node("Maker", lambda t, args, ctx: t["mail"] == M[3][1], "{ id }").first()["id"] == 3
+    assert joined.node("Maker", 999, "{ id }").count() == 0
+    assert from_global_id(global_id("Maker", 5)) == ("Maker", "5")
     with pytest.raises(SchemaError):
         joined.node("Nobody", 1, "{ id }")
 
 
 @pytest.mark.parametrize(
     "text",
-    ["{ nobody { id } }", "{ user { id } }", "{ users { nothing } }", "{ users }", "{ users { id { x } } }", "{ usersPage(first: 1000) { total } }", "{ usersPage(last: 1) { total } }",
-     '{ usersKeyset(first: 1, before: "x") { total } }', '{ usersKeyset(first: 1, after: "eyJub3RoaW5nIjoxfQ==") { edges { node { id } } } }', "{ users { ...Nope } }"],
+    ["{ nobody { id } }", "{ maker { id } }", "{ makers { nothing } }", "{ makers }", "{ makers { id { x } } }", "{ pages(first: 1000) { total } }", "{ pages(last: 1) { total } }",
+     '{ keyset(first: 1, before: "x") { total } }', '{ keyset(first: 1, after: "eyJub3RoaW5nIjoxfQ==") { edges { node { id } } } }', "{ makers { ...Nope } }",
+     "{ makers(nothing: 1) { id } }", "{ makers { id(x: 1) } }", '{ maker(id: "1") { id } }', "query q { maker(id: $id) { id } }", "query q($id: Int!) { maker(id: $id) { id } }",
+     "{ makers { ...F } } fragment F on Maker { id ...G } fragment G on Maker { ...F }", "{ makers { watching(level: UP) { id } } }", '{ pages(first: "2") { total } }'],
 )
 def test_wrong_queries(joined, text):
     with pytest.raises(QueryError):
-        joined.data(text, {})
+        joined.data(text, {"id": "x"} if "$id: Int" in text else {})
 
 
 def test_flat_rows_nest_to_the_same(joined):
-    text = "{ users { id comments(active: true) { id } } }"
+    text = "{ makers { id notes(shown: true) { id } } }"
     flat = joined.flat(text)
-    assert flat.columns == ["id", "comments__id"]
-    nested = [(u["id"], c["id"]) for u in joined.data(text)["users"] for c in u["comments"]]
-    assert sorted(nested) == sorted(tuple(r) for r in flat.collect())
+    assert flat.columns == ["id", "notes__id"]
+    assert sorted(tuple(r) for r in flat.collect()) == sorted((n[2], n[0]) for n in NOTES if not n[3])
 
 
 def test_plan_reads_only_what_is_asked(joined, spark, tmp_path):

@@ -11,7 +11,7 @@ from nestql.errors import QueryError, SchemaError
 from nestql.functions import cursors, order
 from nestql.functions.literals import sql_literal
 from nestql.functions.names import Namespace, short
-from nestql.sources.schema import Col, Edge, Entity, schema, tagged
+from nestql.sources.schema import Arg, Col, Edge, Entity, schema, tagged
 from nestql.streaming.live import each_batch
 
 
@@ -48,7 +48,7 @@ def test_literals_round_trip(spark):
 def test_names():
     assert list(islice(short(), 28)) == [*"abcdefghijklmnopqrstuvwxyz", "aa", "ab"]
     n = Namespace()
-    assert [n.name("some table-name"), n.name("some_table_x"), n.name("b")] == ["some_table", "some_table$", "b"]
+    assert [n.name(x) for x in ("a b", "a_b", "a-b", "a_b_2", "c")] == ["a_b", "a_b_2", "a_b_3", "a_b_2_2", "c"]
     assert [Namespace(True, "p_").name("x")] == ["p_a"]
 
 
@@ -113,7 +113,7 @@ def test_a_stream_feeds_an_entity(spark, tmp_path):
     stream, seen = spark.readStream.schema("id long").parquet(str(tmp_path / "in")), []
 
     def build(batch):
-        return schema([Entity("T", batch, ["id"], {"id": Col()})], {"all": Edge("T", where=lambda t, args, ctx, node: t["id"] > args["over"], order_by="id")})
+        return schema([Entity("T", batch, ["id"], {"id": Col()})], {"all": Edge("T", where=lambda t, args, ctx, node: t["id"] > args["over"], order_by="id", args={"over": Arg(type="Int")})})
 
     each_batch(stream, build, "query($n: Int) { all(over: $n) { id } }", lambda df, n: seen.extend(r["id"] for r in df.collect()), str(tmp_path / "c"), {"n": 2}).awaitTermination(60)
     assert seen == [3, 4]
