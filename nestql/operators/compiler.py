@@ -362,16 +362,20 @@ class Compiler:
 
     def listing(self, rows: DataFrame, node: PlanNode, link: list[Column], kinds: dict) -> tuple[DataFrame, Column]:
         """A row for each link: the array of values in order, of the page only if there is one."""
-        names, edge = [f"_l{i}" for i in range(len(link))], node.edge
+        names, edge, adjacent = [f"_l{i}" for i in range(len(link))], node.edge, False
         if not node.type.unique or node.j is not None:  # what joins bring twice is one object
-            # dealt by link once: duplicates, windows and lists all find it so
-            rows = rows.withColumn("_k", self.key(node)).select(*link, "*").repartition(*names)
-            if node.j is not None or any(c[2:] not in node.type.key for c, _ in self.sort(node)[0]):
-                w = Window.partitionBy(*names, "_k").orderBy(*self.precedence(rows, node))
-                rows = rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_k")
-            else:  # the order can't tell the rows of an object apart
-                rows = rows.dropDuplicates([*names, "_k"]).drop("_k")
-            link = [F.col(n) for n in names]
+            told_apart = node.j is not None or any(c[2:] not in node.type.key for c, _ in self.sort(node)[0])
+            if not told_apart and node.limit is None and not node.offset and not edge.connection:
+                adjacent = True  # neighbours in the sorted list; see below
+            else:
+                # dealt by link once: duplicates, windows and lists all find it so
+                rows = rows.withColumn("_k", self.key(node)).select(*link, "*").repartition(*names)
+                if told_apart:
+                    w = Window.partitionBy(*names, "_k").orderBy(*self.precedence(rows, node))
+                    rows = rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_k")
+                else:  # the order can't tell the rows of an object apart
+                    rows = rows.dropDuplicates([*names, "_k"]).drop("_k")
+                link = [F.col(n) for n in names]
         total = None
         if edge.connection and edge.paginate and self.wants(node, "total"):
             total = rows.select(*link).groupBy(*names).agg(F.count("*").alias("_t"))
@@ -391,6 +395,16 @@ class Compiler:
         agg = flat.groupBy(*names).agg(F.collect_list("_s").alias("_a"))
         ordered = order.sorted_array(F.col("_a"), [d for _, d in s])
         pick = (lambda x: x["item"]) if edge.connection else (lambda x: x["item"]["value"])
+        if adjacent:
+
+            def fresh(x: Column, i: Column) -> Column:
+                before, other = F.get("_o", i - 1), F.lit(False)
+                for k in range(len(sorts)):
+                    other = other | ~x[f"s{k}"].eqNullSafe(before[f"s{k}"])
+                return (i == 0) | other
+
+            agg = agg.select(*names, ordered.alias("_o"))
+            ordered = F.filter("_o", fresh)
         agg = agg.select(*names, F.transform(ordered, pick).alias("_v"))
         if edge.connection:
             if total is not None:
