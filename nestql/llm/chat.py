@@ -195,3 +195,34 @@ ORACLE = """
 SELECT conv_id, turn AS at, CAST(0 AS INTEGER) AS depth, turn, CAST(0 AS INTEGER) AS pos, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id,
     CAST(NULL AS VARCHAR) AS status, '{"content":' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}' AS json
 FROM conversations"""
+
+
+def rehearsal(turns: DataFrame) -> DataFrame:
+    """Tool calls and results made from the places of turns, for a table that has none: each status comes up.
+
+    A turn of an assistant becomes calls of ``search`` and most often a result, one of a user a result that nobody asked for.
+    """
+    k, t = "pmod(conv_id * 7 + turn, 8)", "cast(turn AS string)"
+    arguments = f"CASE {k} WHEN 2 THEN concat('{{\"query\":\"q', {t}, '\",\"limit\":0}}') WHEN 4 THEN '{{}}' ELSE concat('{{\"query\":\"q', {t}, '\",\"limit\":2}}') END"
+    after = f"CASE {k} WHEN 5 THEN concat('[\"c', {t}, '\"]') ELSE '[]' END"
+    call = f"concat('<tool_call>{{\"id\":\"c', {t}, '\",\"name\":\"', CASE {k} WHEN 3 THEN 'nope' ELSE 'search' END, '\",\"after\":', {after}, ',\"arguments\":', {arguments}, '}}</tool_call>')"
+    asked, said = turns.filter("role = 'assistant'"), turns.filter("role = 'user'")
+    calls = asked.selectExpr("conv_id", "2 * turn AS turn", "role", f"repeat({call}, CASE {k} WHEN 6 THEN 2 ELSE 1 END) AS text")
+    results = asked.filter(f"{k} NOT IN (1, 3, 4)").selectExpr("conv_id", f"2 * turn + CASE {k} WHEN 7 THEN -1 ELSE 1 END", "'tool'", f"concat('{{\"tool_call_id\":\"c', {t}, '\",\"content\":\"r', {t}, '\"}}')")
+    orphans = said.selectExpr("conv_id", "2 * turn", "'tool'", f"concat('{{\"tool_call_id\":\"x', {t}, '\",\"content\":null}}')")
+    return calls.union(results).union(orphans)
+
+
+#: DuckDB SQL for link() of rehearsal() of the conversations.
+REHEARSAL = """
+WITH asked AS (SELECT conv_id, turn AS t, (conv_id * 7 + turn) % 8 AS k FROM conversations WHERE role = 'assistant'),
+call AS (SELECT conv_id, 2 * t AS spot, 0 AS depth, 2 * t AS turn, unnest(range(CASE k WHEN 6 THEN 2 ELSE 1 END)) AS pos, 'call' AS kind, 'c' || t AS call_id, k, t FROM asked),
+result AS (SELECT conv_id, 2 * t + CASE k WHEN 7 THEN 0 ELSE 1 END AS spot, CASE k WHEN 7 THEN 1 ELSE 0 END AS depth, 2 * t + CASE k WHEN 7 THEN -1 ELSE 1 END AS turn, k, t FROM asked WHERE k NOT IN (1, 3, 4)),
+event AS (
+    SELECT conv_id, spot, depth, turn, pos, kind, call_id,
+        CASE WHEN k = 5 THEN 'cyclic' WHEN k = 6 AND pos = 1 THEN 'duplicate' WHEN k = 2 THEN '$.limit: out of range' WHEN k = 3 THEN 'unknown tool nope' WHEN k = 4 THEN '$.query: missing' WHEN k = 1 THEN 'unanswered' ELSE 'ok' END AS status,
+        '{"role":"assistant","tool_call":{"arguments":' || CASE k WHEN 4 THEN '{}' ELSE '{"limit":' || CASE k WHEN 2 THEN 0 ELSE 2 END || ',"query":"q' || t || '"}' END || ',"id":"c' || t || '","name":"' || CASE k WHEN 3 THEN 'nope' ELSE 'search' END || '"}}' AS json
+    FROM call
+    UNION ALL SELECT conv_id, spot, depth, turn, 0, 'result', 'c' || t, CASE k WHEN 5 THEN 'cyclic' ELSE 'ok' END, '{"content":"r' || t || '","role":"tool","tool_call_id":"c' || t || '"}' FROM result
+    UNION ALL SELECT conv_id, 2 * turn, 0, 2 * turn, 0, 'result', 'x' || turn, 'orphan', '{"content":null,"role":"tool","tool_call_id":"x' || turn || '"}' FROM conversations WHERE role = 'user')
+SELECT conv_id, CAST(spot AS BIGINT) AS at, CAST(depth AS INTEGER) AS depth, CAST(turn AS BIGINT) AS turn, CAST(pos AS INTEGER) AS pos, kind, call_id, status, json FROM event"""

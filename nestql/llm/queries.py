@@ -33,6 +33,11 @@ def op4_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link(table(spark, sf_dir, "conversations"), chat.tools(spark, sf_dir))
 
 
+def tool_call_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator on calls made from the table's turns, since the table holds none."""
+    return chat.link(chat.rehearsal(table(spark, sf_dir, "conversations")), chat.TOOLS)
+
+
 def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,6 @@ def op10_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), words=5, threshold=0.8).select("doc_id", "class_id", "n_links", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_sorted_string_table, op3_suffix_array_dedup, op4_tool_call_linking, op5_poisson_mixing, op6_multiple_instance_toxicity, op7_language_bitmask, op8_line_field_quality, op9_p_stable_embeddings, op10_lsh_forest_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_sorted_string_table, op3_suffix_array_dedup, op4_tool_call_linking, op5_poisson_mixing, op6_multiple_instance_toxicity, op7_language_bitmask, op8_line_field_quality, op9_p_stable_embeddings, op10_lsh_forest_join, tool_call_statuses)}
 
-ORACLES: dict[str, str] = {"op4_tool_call_linking": chat.ORACLE, "op5_poisson_mixing": mixing.oracle()}
+ORACLES: dict[str, str] = {"op4_tool_call_linking": chat.ORACLE, "tool_call_statuses": chat.REHEARSAL, "op5_poisson_mixing": mixing.oracle()}
