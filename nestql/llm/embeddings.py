@@ -23,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,6 +91,26 @@ def angles(df: DataFrame, keep: list[str], schema: str) -> DataFrame:
     return df.select(*keep, "unit", "pivot").mapInArrow(run, f"{schema}, angle double")
 
 
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    whole = column.combine_chunks()
+    return whole if isinstance(whole, pa.Array) else pa.concat_arrays(whole.chunks)
+
+
+def united(root: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """root with the sets that links join made one: each number's smallest member that it reaches."""
+    while True:
+        a, b = root[r], root[c]
+        open_ = a != b
+        if not open_.any():
+            return root
+        r, c, a, b = r[open_], c[open_], a[open_], b[open_]
+        low, root = np.minimum(a, b), root.copy()
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def compare(threshold: float):
     """Links found in each task of each bucket: a count and one link of a spanning forest for each vector.
 
@@ -101,17 +120,17 @@ def compare(threshold: float):
     @tidy_group
     def run(table: pa.Table) -> pa.Table:
         node, canopy, side, spot, key = (table.column(c).to_numpy() for c in ("node", "canopy", "side", "spot", "key"))
-        unit, sign = table.column("unit"), table.column("keys")
-        size = pc.binary_length(unit).to_numpy()  # if keys of two dimensions clash
+        unit, sign = _one(table.column("unit")), _one(table.column("keys")).flatten().to_numpy().reshape(-1, TABLES)
+        at = np.frombuffer(unit.buffers()[1], np.int32, count=len(unit) + 1, offset=4 * unit.offset)
+        parts = np.frombuffer(unit.buffers()[2], np.float64, count=at[-1] // 8) if len(unit) else np.zeros(0)
+        at, size = at[:-1] // 8, np.diff(at) // 8  # sizes differ if keys of two dimensions clash
         order = np.lexsort((size, spot, key))
         cuts = np.flatnonzero((np.diff(key[order]) != 0) | (np.diff(spot[order]) != 0) | (np.diff(size[order]) != 0)) + 1
         out: list[tuple[np.ndarray, ...]] = []
         for idx in np.split(order, cuts):
             if len(idx) < 2:
                 continue
-            rows = pa.array(idx)
-            x = np.frombuffer(b"".join(unit.take(rows).to_pylist()), np.float64).reshape(len(idx), -1)
-            s = np.array(sign.take(rows).to_pylist(), np.int64)
+            x, s = parts[at[idx][:, None] + np.arange(size[idx[0]])], sign[idx]
             here = int(np.flatnonzero((s == key[idx[0]]).all(axis=0))[0])
             group, right = canopy[idx], np.flatnonzero(side[idx])
             cross = len(right) > 0
@@ -128,10 +147,7 @@ def compare(threshold: float):
                     ok &= s[r, t] != s[c, t]
                 r, c = r[ok], c[ok]
                 count += np.bincount(r, minlength=len(idx)) + np.bincount(c, minlength=len(idx))
-                for k in np.unique(r):
-                    met = np.unique(root[np.append(c[r == k], k)])
-                    if len(met) > 1:
-                        root[np.isin(root, met)] = met[0]
+                root = united(root, r, c)
             has = np.flatnonzero(count)
             out.append((node[idx][has], count[has], node[idx][root[has]]))
         cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3

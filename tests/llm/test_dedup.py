@@ -259,6 +259,16 @@ def test_embeddings(spark, hot, block):
     assert sum(r["component_id"] == exact.get(r["vec_id"], r["vec_id"]) for r in got) > 0.97 * len(rows)
 
 
+def test_united_sets():
+    rng = np.random.default_rng(16)
+    for _ in range(30):
+        n = int(rng.integers(2, 40))
+        pairs = rng.integers(0, n, (int(rng.integers(1, 40)), 2))
+        root = embeddings.united(np.arange(n), *pairs[:10].T)
+        root = embeddings.united(root, *pairs[10:].T)
+        assert root.tolist() == list(union_find(range(n), pairs.tolist()).values())
+
+
 def test_embeddings_empty(spark):
     assert embeddings.near(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
