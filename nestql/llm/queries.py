@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat, embeddings, jaccard, langid, mixing, packing, quality, sstable, suffix, toxicity
 from .store import table
@@ -44,7 +45,7 @@ def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_multiple_instance_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted", "offending")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted", F.to_json("offending").alias("offending"))
 
 
 def op7_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
