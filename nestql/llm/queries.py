@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, jaccard, langid, mixing, packing, quality, sstable, suffix, toxicity
+from . import chat, embeddings, jaccard, langid, mixing, packing, quality, sql, sstable, suffix, toxicity
 from .store import table
 
 
@@ -68,4 +68,11 @@ def op10_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_sorted_string_table, op3_suffix_array_dedup, op4_tool_call_linking, op5_poisson_mixing, op6_multiple_instance_toxicity, op7_language_bitmask, op8_line_field_quality, op9_p_stable_embeddings, op10_lsh_forest_join, tool_call_statuses)}
 
-ORACLES: dict[str, str] = {"op4_tool_call_linking": chat.ORACLE, "tool_call_statuses": chat.REHEARSAL, "op5_poisson_mixing": mixing.oracle()}
+ORACLES: dict[str, str] = {
+    "op3_suffix_array_dedup": sql.SUFFIX_DEDUP,
+    "op4_tool_call_linking": chat.ORACLE,
+    "tool_call_statuses": chat.REHEARSAL,
+    "op5_poisson_mixing": mixing.oracle(),
+    "op9_p_stable_embeddings": sql.NEAR_VECTORS,
+    "op10_lsh_forest_join": sql.JACCARD_JOIN,
+}
