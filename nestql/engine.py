@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Mapping, Sequence
+import warnings
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import replace
 from typing import Any
 
@@ -27,13 +28,25 @@ def from_global_id(text: str) -> tuple[str, str]:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, schema: Schema):
-        self.spark, self.schema = spark, schema
+    """Queries over a schema.
+
+    hidden: whether objects also carry the columns that their type, or the junction that leads to them, always fetches.
+    strategy: decides between join and batch from a field's name in the result and its edge; else each edge's own holds.
+    """
+
+    def __init__(self, spark: SparkSession, schema: Schema, hidden: bool = False, strategy: Callable[[str, Edge], str] | None = None):
+        self.spark, self.schema, self.hidden, self.strategy = spark, schema, hidden, strategy
+
+    def planner(self, text: str, variables: Mapping[str, Any] | None, ctx: Any, schema: Schema | None = None) -> Planner:
+        return Planner(schema or self.schema, parse(text), variables or {}, ctx, self.strategy)
+
+    def compiler(self, ctx: Any) -> Compiler:
+        return Compiler(self.spark, ctx, self.hidden)
 
     def frames(self, text: str, variables: Mapping[str, Any] | None = None, ctx: Any = None, operation: str | None = None) -> dict[str, DataFrame]:
         """A lazy DataFrame for each root field."""
-        nodes = Planner(self.schema, parse(text), variables or {}, ctx).roots(operation)
-        return {n.key: Compiler(self.spark, ctx).root(n) for n in nodes}
+        nodes = self.planner(text, variables, ctx).roots(operation)
+        return {n.key: self.compiler(ctx).root(n) for n in nodes}
 
     def query(self, text: str, variables: Mapping[str, Any] | None = None, ctx: Any = None, operation: str | None = None) -> DataFrame:
         """The DataFrame of a query with one root field."""
@@ -42,23 +55,28 @@ class Engine:
             raise QueryError("the query has several root fields, or none; use frames()")
         return next(iter(frames.values()))
 
-    def flat(self, text: str, variables: Mapping[str, Any] | None = None, ctx: Any = None, minify: bool = False, prefix: str = "") -> DataFrame:
-        """The rows before nesting, with names like posts__comments__id; minify makes them short, prefix goes before each."""
-        nodes = Planner(self.schema, parse(text), variables or {}, ctx).roots()
+    def flat(self, text: str, variables: Mapping[str, Any] | None = None, ctx: Any = None, minify: bool = False, prefix: str = "", longest: int = 63) -> DataFrame:
+        """The rows before nesting, with names like posts__comments__id; minify makes them short, prefix goes before each.
+
+        Names of more than longest characters, which many databases would cut, give a warning.
+        """
+        nodes = self.planner(text, variables, ctx).roots()
         if len(nodes) != 1:
             raise QueryError("flat() takes one root field")
-        df = Compiler(self.spark, ctx).flat(nodes[0])
+        df = self.compiler(ctx).flat(nodes[0])
         if minify or prefix:
             space = Namespace(minify, prefix)
             df = df.toDF(*[space.name(c) for c in df.columns])
+        if long := [c for c in df.columns if len(c) > longest]:
+            warnings.warn(f"names of over {longest} characters: {', '.join(long)}; minify makes them short", stacklevel=2)
         return df
 
     def data(self, text: str, variables: Mapping[str, Any] | None = None, ctx: Any = None, operation: str | None = None) -> dict[str, Any]:
         """Collect the result as nested dictionaries; for results that fit the driver."""
-        planner = Planner(self.schema, parse(text), variables or {}, ctx)
+        planner = self.planner(text, variables, ctx)
         out: dict[str, Any] = {}
         for n in planner.roots(operation):
-            rows = [r.asDict(recursive=True) for r in Compiler(self.spark, ctx).root(n).collect()]
+            rows = [r.asDict(recursive=True) for r in self.compiler(ctx).root(n).collect()]
             out[n.key] = rows if n.edge.many and not n.edge.connection else (rows[0] if rows else None)
         return out
 
@@ -81,7 +99,7 @@ class Engine:
         t = self.schema.type(type_name)
         edge = Edge(type_name, many=False)
         root = replace(self.schema, roots={"node": edge})
-        planner = Planner(root, parse("{ node " + selection + " }"), variables or {}, ctx)
+        planner = self.planner("{ node " + selection + " }", variables, ctx, root)
         (node,) = planner.roots()
 
         def where(table: Table) -> Column:
@@ -95,7 +113,7 @@ class Engine:
                 out = out & (table[k] == F.lit(v))
             return out
 
-        return Compiler(self.spark, ctx).root(node, where).withColumn("__type__", F.lit(type_name))
+        return self.compiler(ctx).root(node, where).withColumn("__type__", F.lit(type_name))
 
 
 __all__ = ["Engine", "Field", "from_global_id", "global_id"]

@@ -24,8 +24,8 @@ DEEP = 10_000
 
 
 class Compiler:
-    def __init__(self, spark: SparkSession, ctx: Any):
-        self.spark, self.ctx = spark, ctx
+    def __init__(self, spark: SparkSession, ctx: Any, hidden: bool = False):
+        self.spark, self.ctx, self.hidden = spark, ctx, hidden
         self.kinds: dict[str, T.DataType] = {}
 
     # tables ------------------------------------------------------------------------------------------------------
@@ -93,8 +93,15 @@ class Compiler:
             if o.key in out:
                 v = F.when(node.t[node.type.tag] == o.on, v).otherwise(out[o.key]) if o.on is not None else F.coalesce(out[o.key], v)
             out[o.key] = v
+        for k, v in self.fetched(node) if self.hidden else []:
+            out.setdefault(k, v)
         return [v.alias(k) for k, v in out.items()]
 
+    def fetched(self, node: PlanNode) -> list[tuple[str, Column]]:
+        """Columns that the schema always wants, of the type's table and of the junction."""
+        out = [(c, node.t[c]) for c in node.type.always_fetch]
+        return out + [(c, node.j[c]) for c in (node.edge.junction.always_fetch if node.j is not None else ())]
+
     def pick(self, c: Column, wanted: dict, kind: T.DataType) -> Column:
         """The fields of a struct, or of each struct of an array, that are wanted."""
         if not wanted:
@@ -275,7 +282,7 @@ class Compiler:
             left = df.filter(parent.t[parent.type.tag] == o.on)
 
         def keep(rows: DataFrame) -> DataFrame:
-            if edge.strategy == "batch" and by_key:  # only what belongs to a parent that is there
+            if node.strategy == "batch" and by_key:  # only what belongs to a parent that is there
                 near = node.j or node.t
                 keys = left.select(*[parent.t[a].alias(f"_b{i}") for i, (a, _) in enumerate(self.listed(on))]).distinct()
                 return rows.join(keys, [near[b] == F.col(f"_b{i}") for i, (_, b) in enumerate(self.listed(on))], "left_semi")
@@ -283,7 +290,7 @@ class Compiler:
 
         rows, strict = self.rows(node, keep)
         near = node.j or node.t
-        batch = edge.strategy == "batch"
+        batch = node.strategy == "batch"
         free = not (batch or edge.paginate)  # its filter also decides about the parents
         if by_key:
             links = [near[b] for _, b in self.listed(on)]

@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 
 from nestql.engine import Engine, from_global_id, global_id
@@ -225,3 +227,39 @@ def test_repeated_junction_rows_leave_the_first_in_the_order(spark):
     for p in got:
         rows = {k: [tuple(x.values()) for x in v] for k, v in p.items()}
         assert rows == {"most": [(1, 9, 1), (2, 9, 1)], "least": [(2, 3, 0), (1, 3, 0)], "top": [(1, 9, 1)], "plain": [(1, 3, 0), (2, 3, 0)]}
+
+
+def test_columns_always_fetched(spark):
+    s = workshop(spark)
+    maker, work = s.types["Maker"], replace(s.types["Work"], always_fetch=("by",))
+    edge = maker.fields["watching"]
+    edge = replace(edge, junction=replace(edge.junction, always_fetch=("level",)))
+    maker = replace(maker, always_fetch=("mail", "id"), fields={**maker.fields, "watching": edge})
+    s = replace(s, types={**s.types, "Maker": maker, "Work": work})
+    text = "{ makers { id watching { name } works { __typename } } }"
+    for m in Engine(spark, s, hidden=True).data(text)["makers"]:
+        assert m["mail"] == M[m["id"]][1]
+        assert m["watching"] == [{"name": NAME[w], "mail": M[w][1], "id": w, "level": level} for w, level in watched(m["id"])]
+        assert all(w["by"] == m["id"] for w in m["works"])
+    assert all(set(m) == {"id", "watching", "works"} for m in Engine(spark, s).data(text)["makers"])
+    got = Engine(spark, s, hidden=True).node("Maker", 2, "{ name }").first().asDict()
+    assert got == {"name": NAME[2], "mail": M[2][1], "id": 2, "__type__": "Maker"}
+
+
+def test_strategy_hook(spark):
+    text = "{ makers { id notes(shown: true) { id } } }"
+    want = [(i, notes_of(i, True)) for i in M]
+    got = Engine(spark, workshop(spark, "join"), strategy=lambda key, edge: "batch" if key == "notes" else edge.strategy).data(text)["makers"]
+    assert [(m["id"], ids(m["notes"])) for m in got] == want
+    got = Engine(spark, workshop(spark, "batch"), strategy=lambda key, edge: "join").data(text)["makers"]
+    assert [(m["id"], ids(m["notes"])) for m in got] == [x for x in want if x[1]]
+    with pytest.raises(SchemaError):
+        Engine(spark, workshop(spark), strategy=lambda key, edge: "guess").query(text)
+
+
+def test_long_names_give_a_warning(joined, recwarn):
+    long = "n" * 60
+    joined.flat(f"{{ makers {{ {long}: notes {{ id }} }} }}", minify=True)
+    assert not recwarn.list
+    with pytest.warns(UserWarning, match=f"{long}__id"):
+        joined.flat(f"{{ makers {{ {long}: notes {{ id }} }} }}")
