@@ -346,3 +346,18 @@ def _connection_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_special("flat_rows", "SELECT c_custkey, c_custkey AS id, o_orderkey AS orders__o_orderkey, o_orderkey AS orders__id, o_totalprice AS orders__price FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'")
 def _flat_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(spark, star(spark, sf_dir)).flat('{ customers(segment: "BUILDING") { id orders { id price } } }')
+
+
+@_special(
+    "junction_always_fetch",
+    f"SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY l_quantity DESC, l_orderkey, l_linenumber, s_suppkey) - 1 AS INTEGER) AS pos, s_suppkey AS supplier, l_linenumber AS line FROM ({_FIRST}) WHERE r = 1",
+)
+def _junction_always_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = Engine(spark, star(spark, sf_dir), hidden=True).query("{ parts { id byQuantity { id } } }")
+    return _each("byQuantity pos")(df).withColumnsRenamed({"byQuantity_id": "supplier", "byQuantity_l_linenumber": "line"})
+
+
+@_special("strategy_hook", "SELECT c_custkey AS id, o_orderkey AS orders_id FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F'")
+def _strategy_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(spark, star(spark, sf_dir), strategy=lambda key, edge: "batch" if edge.many else edge.strategy)
+    return _each("orders outer")(engine.query('{ customers { id orders(status: "F") { id } } }'))
