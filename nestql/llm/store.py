@@ -12,6 +12,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: For our own tables only. Without its native library Hadoop starts a process (chmod) for each local file and folder, and another for each
+#: file's checksums; until it runs it shares the JVM's memory. Plain local files have no checksums. Other file systems aren't affected.
+PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
 
 def shared_root(spark: SparkSession) -> str:
     """The shared folder as a URI or path."""
@@ -42,13 +46,13 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Materialise df and return it as read back."""
-        df.write.mode("overwrite").parquet(self.path(name))
+        df.write.mode("overwrite").options(**PLAIN).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def write_bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
         """Materialise df bucketed by key: later groupings by key read it in place, without an exchange."""
         table = f"nestql_{name}_{self.id}"
-        df.write.mode("overwrite").option("path", self.path(name)).bucketBy(buckets, key).saveAsTable(table)
+        df.write.mode("overwrite").options(**PLAIN).option("path", self.path(name)).bucketBy(buckets, key).saveAsTable(table)
         self.tables.append(table)
         return self.spark.table(table)
 
@@ -71,8 +75,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of whole texts must stay small: a batch is held in memory at once, in the JVM and in Python."""
-    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+    """Batches of whole texts must stay small, those that are read and Arrow's: a batch is held in memory at once, in the JVM and in Python."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20), ("spark.sql.parquet.columnarReaderBatchSize", rows)):
         now = str(spark.conf.get(name)).lower().rstrip("b")
         if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(name, str(most))

@@ -86,27 +86,29 @@ def segments(docs: DataFrame) -> DataFrame:
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n, size = TaskContext.get().partitionId(), 0, 0
-        ids, sizes, texts, rest = [], [], [], []
+        ids, sizes, texts, rest = [], [], [], []  # rest: the other columns, as a stream that is being written
 
         def row() -> pa.RecordBatch:
-            data, sink = _zip(b"".join(texts)), pa.BufferOutputStream()
-            texts.clear()
-            with pa.ipc.new_stream(sink, rest[0].schema) as w:
-                for x in rest:
-                    w.write_batch(x)
-            rest.clear()
-            cols = [pa.array([(part << 24) + n // GROUP], pa.int64()), pa.array([(part << 24) + n], pa.int64()), *(pa.array([np.concatenate(x)], pa.list_(pa.int64())) for x in (ids, sizes)), pa.array([data]), pa.array([_zip(sink.getvalue().to_pybytes())])]
-            ids.clear(), sizes.clear()
+            sink, writer = rest
+            writer.close()
+            data, extra = _zip(b"".join(texts)), _zip(sink.getvalue())
+            cols = [pa.array([(part << 24) + n // GROUP], pa.int64()), pa.array([(part << 24) + n], pa.int64()), *(pa.array([np.concatenate(x)], pa.list_(pa.int64())) for x in (ids, sizes)), pa.array([data]), pa.array([extra])]
+            for x in (ids, sizes, texts, rest):
+                x.clear()
             return pa.RecordBatch.from_arrays(cols, names=["grp", "seg", "ids", "sizes", "data", "extra"])
 
         for batch in batches:
+            side = batch.select([0, *range(2, batch.num_columns)])
             for a, b in _cuts(batch.column(1)):
-                x = batch.slice(a, b - a)
-                ids.append(np.asarray(x.column(0).fill_null(LAST)))
-                held = [t or b"" for t in x.column(1).to_pylist()]
-                sizes.append(np.fromiter(map(len, held), np.int64, len(held)))
-                texts.append(b"".join(held))
-                rest.append(x.select([0, *range(2, x.num_columns)]))
+                whole = batch.column(1).slice(a, b - a).fill_null(b"").cast(pa.large_binary())
+                at = np.frombuffer(whole.buffers()[1], np.int64, count=b - a + 1, offset=8 * whole.offset)
+                ids.append(np.array(batch.column(0).slice(a, b - a).fill_null(LAST)))  # copies: no batch is held
+                sizes.append(np.diff(at))
+                texts.append(whole.buffers()[2][int(at[0]) : int(at[-1])].to_pybytes() if at[-1] > at[0] else b"")
+                if not rest:
+                    sink = pa.BufferOutputStream()
+                    rest += sink, pa.ipc.new_stream(sink, side.schema)
+                rest[1].write_batch(side.slice(a, b - a))
                 size += len(texts[-1])
                 if size >= SEGMENT:
                     yield row()

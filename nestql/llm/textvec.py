@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from .memory import keeps
+
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1  # odd, so it has an inverse modulo 2^64
 _POWERS = [np.ones(1, U), np.ones(1, U)]
@@ -21,7 +23,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of BASE and of its inverse, from 0 to n - 1 at least."""
     if len(_POWERS[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
+        size = -(-n // (1 << 16)) << 16
         for i, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
             p = np.full(size, U(base))
             p[0] = 1
@@ -29,6 +31,13 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+def _forget() -> None:
+    _POWERS[:] = [np.ones(1, U), np.ones(1, U)]
+
+
+keeps(_forget)
+
+
 def prefix(buf: np.ndarray) -> np.ndarray:
     """Running sums from which spans() and windows() get the hash of any stretch."""
     c = np.zeros(len(buf) + 1, U)

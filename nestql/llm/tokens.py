@@ -19,6 +19,8 @@ import os
 import numpy as np
 import pyarrow as pa
 
+from .memory import keeps
+
 #: Pieces and ids that a worker remembers; when there are more, the half of the pieces that is used most stays.
 CACHE, FLAT = 800_000, 8 << 20
 #: Longer pieces are encoded anew in each batch. Bytes that are cut, and that the library gets, at once.
@@ -182,7 +184,10 @@ class Encoder:
 
 
 def encoder(path: str, kind: str) -> Encoder:
-    """One encoder for each worker process, kept between tasks."""
+    """One encoder for each worker process, kept between tasks of an operator."""
     if (path, kind) not in _LOADED:
         _LOADED[path, kind] = Encoder(path, kind)
     return _LOADED[path, kind]
+
+
+keeps(_LOADED.clear)
