@@ -22,6 +22,10 @@ BUCKETS = 1024
 DEALT, TASKS = 16 << 10, 4096
 
 
+#: Bytes of tables, as they are stored, for which a task makes lists; fewer tasks than FEW are left to Spark.
+SHARE, FEW = 4 << 20, 8
+
+
 class Fields:
     """Stands for a Table: columns are fields of a struct; notes which are asked for."""
 
@@ -140,3 +144,17 @@ def deal(df: DataFrame, order: list[Column], keys: list[Column], own: int) -> Da
     """In order if there is one, over as many tasks as own bytes of parents ask for: small rows with long lists to come are not merged into a few."""
     n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(TASKS, own // DEALT))
     return df.repartitionByRange(n, *order).sortWithinPartitions(*order) if order else df.repartition(n, *keys)
+
+
+def tasks(df: DataFrame) -> int:
+    """How many tasks the lists made of rows need for what a task holds not to grow with the tables; 0 leaves it to Spark, as an unknown size does."""
+    if not hasattr(df, "_jdf"):
+        return 0
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    n = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())) // SHARE
+    return n if FEW <= n < 1 << 31 else 0
+
+
+def dealt(df: DataFrame, names: list[str]) -> DataFrame:
+    n = tasks(df)
+    return df.repartition(n, *names) if n else df.repartition(*names)

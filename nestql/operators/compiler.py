@@ -421,13 +421,16 @@ class Compiler:
         names, edge = [f"_l{i}" for i in range(len(link))], node.edge
         if not node.type.unique or node.j is not None:  # what joins bring twice is one object
             # dealt by link once: duplicates, windows and lists all find it so
-            rows = rows.withColumn("_k", self.key(node)).select(*link, "*").repartition(*names)
+            rows = blocks.dealt(rows.withColumn("_k", self.key(node)).select(*link, "*"), names)
             if node.j is not None or any(c[2:] not in node.type.key for c, _ in self.sort(node)[0]):
                 w = Window.partitionBy(*names, "_k").orderBy(*self.precedence(rows, node))
                 rows = rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_k")
             else:  # the order can't tell the rows of an object apart
                 rows = rows.dropDuplicates([*names, "_k"]).drop("_k")
             link = [F.col(n) for n in names]
+        elif blocks.tasks(rows):
+            rows = blocks.dealt(rows.select(*link, "*"), names)
+            link = [F.col(n) for n in names]
         total = None
         if edge.connection and edge.paginate and self.wants(node, "total"):
             total = rows.select(*link).groupBy(*names).agg(F.count("*").alias("_t"))
@@ -497,7 +500,8 @@ class Compiler:
             if self.late and node.edge.many:
                 rows = blocks.deal(rows, asked, [node.t[k] for k in node.type.key], blocks.size(state["own"]))
             elif asked:
-                rows = rows.orderBy(*asked)
+                n = blocks.tasks(rows) if node.edge.many and not state["size"] else 0
+                rows = rows.repartitionByRange(n, *asked).sortWithinPartitions(*asked) if n else rows.orderBy(*asked)
             return self.filled(rows, node).select(*self.values(node))
         kinds = {f.name: f.dataType for f in rows.schema.fields}
         sorts = [of(c).alias(f"s{i}") for i, (c, _) in enumerate(s)]

@@ -93,3 +93,20 @@ def test_lists_below_a_list_pass_no_shuffle(engine):
     text = plan(engine.query("{ places { id visits { id person { id fellows { id } } } } }"))
     assert "filter(" in text.split("Exchange")[0]  # above the last shuffle only
     assert "filter(" not in "".join(x for x in text.split("Exchange")[1:] if "Subquery" not in x)
+
+
+def test_tasks_that_make_lists_grow_with_the_tables(engine, monkeypatch):
+    text = "{ places { id visits { id } } }"
+    want = engine.data(text)
+    assert "REPARTITION_BY_NUM" not in plan(engine.query(text))  # small tables are left to Spark
+    size = blocks.size(engine.query("{ visits { id } }"))
+    monkeypatch.setattr(blocks, "SHARE", 64)
+    n = blocks.tasks(engine.query(text))
+    assert n >= size // 64 > blocks.FEW
+    dealt = [x for x in plan(engine.query(text)).split("\n") if "REPARTITION_BY_NUM" in x]
+    assert any("hashpartitioning(_l0" in x for x in dealt) and any(f", {n}), REPARTITION_BY_NUM" in x for x in dealt if "rangepartitioning" in x)
+    assert engine.data(text) == want
+
+
+def test_a_size_that_is_unknown_is_left_to_spark(spark):
+    assert blocks.tasks(spark.createDataFrame([(1,)] * 3, "id int")) == 0
